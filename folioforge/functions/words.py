@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The code points with the Unicode property White_Space.
-WHITE_SPACE = r"\u0009-\u000d \u0085   -     　"
-# What Python's str.isspace counts besides.
-PYTHON_SPACE = WHITE_SPACE + r"\u001c-\u001f"
+# The ranges of code points with the Unicode property White_Space.
+SPACES = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+          (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+
+
+def _char_class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
+
+
+WHITE_SPACE = _char_class(SPACES)
+#: What Python's str.isspace counts: the separators U+001C to U+001F besides.
+PYTHON_SPACE = _char_class([*SPACES, (0x1C, 0x1F)])
 
 WORD = f"[^{WHITE_SPACE}]+"
 PYTHON_WORD = f"[^{PYTHON_SPACE}]+"
