@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table, unique_rows
-from . import forms, split
+from . import forms, leak, split
 
 DEFAULT_TARGET_WORDS = 600
 
@@ -90,5 +90,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 20 words or more in a row of a benchmark item, with the longest such run."""
+    return leak.contained(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        table(spark, folder, "benchmark").select("item_id", "text"),
+    )
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p7_found": p7_found, "p7_leaks": p7_leaks}
