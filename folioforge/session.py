@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the session's Python workers, once a context.
+
+    Functions that run on executors are pickled by reference, so the workers must be able to import
+    the package wherever the driver's working directory is.
+    """
+    sc = spark.sparkContext
+    if getattr(ship, "_context", None) != sc.applicationId:
+        here = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="folioforge-"), "folioforge-code.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in os.walk(here):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+        sc.addPyFile(path)
+        ship._context = sc.applicationId
+    return spark
