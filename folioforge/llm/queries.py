@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.registry import shipped
 from ..tables import table, unique_rows
-from . import forms, leak, split
+from . import forms, langid, leak, split
 
 DEFAULT_TARGET_WORDS = 600
 
@@ -90,6 +91,71 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+BLOCK_WORDS = 8
+#: Share of a block's words that the other language must have; bare nouns in tables stay below it.
+BLOCK_CONFIDENCE = 0.75
+
+
+def language_model(spark: SparkSession, folder: str) -> langid.Model:
+    return langid.train(table(spark, folder, "documents").select("document_id", "target_lang", "translations_json"))
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, usage record and block of eight words or more, with its label.
+
+    Texts are scored where they lie; what is shuffled afterwards are keys and codes. ``main_lang`` is
+    the language of the document. A usage record takes it and its confidence over.
+    """
+    model = language_model(spark, folder)
+    documents = table(spark, folder, "documents").select("document_id", F.col("lang").alias("label"), "text")
+    documents = unique_rows(langid.languages(documents, "text", model), "document_id")
+    main = documents.select("document_id", F.col("lang").alias("main_lang"), F.col("confidence").alias("main_confidence"))
+    usage = unique_rows(
+        table(spark, folder, "usage_records").select("usage_id", "document_id", F.col("source_language").alias("label")),
+        "usage_id",
+    )
+    blocks = table(spark, folder, "blocks").select("document_id", F.col("block_id").alias("record_id"), "text")
+    blocks = blocks.where(F.char_length("text") >= 2 * BLOCK_WORDS - 1)
+    blocks = blocks.where(split.count_words(F.col("text"), split.WORD) >= BLOCK_WORDS)
+    blocks = unique_rows(langid.languages(blocks, "text", model), "document_id", "record_id")
+    columns = ["record_kind", "document_id", "record_id", "label", "lang", "confidence", "main_lang"]
+    return (
+        documents.select(
+            F.lit("document").alias("record_kind"), "document_id", F.col("document_id").alias("record_id"), "label",
+            "lang", "confidence", F.col("lang").alias("main_lang"),
+        )
+        .unionByName(
+            usage.join(main, "document_id").select(
+                F.lit("usage").alias("record_kind"), "document_id", F.col("usage_id").alias("record_id"), "label",
+                F.col("main_lang").alias("lang"), F.col("main_confidence").alias("confidence"), "main_lang",
+            )
+        )
+        .unionByName(
+            blocks.join(main, "document_id").select(
+                F.lit("block").alias("record_kind"), "document_id", "record_id",
+                F.lit(None).cast("string").alias("label"), "lang", "confidence", "main_lang",
+            )
+        )
+        .select(*columns, langid.label_language(F.col("label")).alias("labelled"))
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels that are missing, void or wrong, and blocks in another language than their document."""
+    rows = p4_languages(spark, folder).where("lang is not null")
+    block = (F.col("record_kind") == "block") & (F.col("lang") != F.col("main_lang")) & (F.col("confidence") > BLOCK_CONFIDENCE)
+    label = (F.col("record_kind") != "block") & ~F.col("labelled").eqNullSafe(F.col("lang"))
+    return rows.where(block | label).select("record_kind", "document_id", "record_id", "lang")
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each paragraph of each document with its language and confidence."""
+    texts = table(spark, folder, "documents").select("document_id", "text")
+    model = language_model(spark, folder)
+    rows = langid.languages(texts, "text", model, by_paragraph=True)
+    return unique_rows(rows.drop("second"), "document_id", "segment_no")
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold 20 words or more in a row of a benchmark item, with the longest such run."""
     return leak.contained(
@@ -103,4 +169,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    listed = [p1_found, p1_pieces, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p7_found, p7_leaks]
+    return {f.__name__: shipped(f) for f in listed}
