@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import shipped
 from ..tables import table, unique_rows
-from . import forms, langid, leak, split
+from . import forms, langid, leak, pairs, split
 
 DEFAULT_TARGET_WORDS = 600
 
@@ -50,6 +50,55 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pieces(spark, folder).where("piece_no = 1").select("record_kind", "document_id", "record_id")
 
 
+def _translation_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_id, block_id, target_lang, text, answer) of every block with an entry in translations_json.
+
+    Bilingual deposits and tables are left out. The entries are taken apart where they lie; keys and
+    texts of both sides are shuffled once, by document and block, so a large document is spread.
+    """
+    documents = table(spark, folder, "documents").where("translations_json is not null")
+    documents = documents.where(~F.col("source").eqNullSafe("bilingual_deposit") & (F.length("translations_json") > 2))
+    entries = unique_rows(
+        documents.select(
+            "document_id", "target_lang",
+            F.explode(F.from_json("translations_json", "map<string,string>")).alias("block_id", "entry"),
+        ),
+        "document_id", "block_id",
+    )
+    nested = F.col("entry").startswith("{") & F.get_json_object("entry", "$").isNotNull()
+    answer = F.when(nested, F.get_json_object("entry", "$.translated_text")).otherwise(F.col("entry"))
+    blocks = unique_rows(
+        table(spark, folder, "blocks")
+        .where(~F.col("block_type").eqNullSafe("table"))
+        .select("document_id", "block_id", "text"),
+        "document_id", "block_id",
+    )
+    return entries.select("document_id", "block_id", "target_lang", answer.alias("answer")).join(
+        blocks, ["document_id", "block_id"]
+    )
+
+
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair with all its defects (an empty array for a sound pair)."""
+    model = language_model(spark, folder)
+    rows = _translation_pairs(spark, folder)
+    lengths = pairs.sample_pairs(
+        rows.where("length(answer) > 10 and length(text) > 10").select(
+            "document_id", "block_id", "text", "answer", F.col("target_lang").alias("target")
+        ),
+        "document_id,block_id",
+    )
+    rules = pairs.Pairs(model, pairs.usual_lengths(lengths, model))
+    return pairs.defects(rows, "text", "answer", "target_lang", rules)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The defective pairs with the first of their defects, in the order of the rules."""
+    return p2_pairs(spark, folder).where("size(defects) > 0").select(
+        "document_id", "block_id", F.element_at("defects", 1).alias("defect")
+    )
+
+
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every term in source_terms and preferred_target with its visual form."""
     entries = unique_rows(
@@ -169,5 +218,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [p1_found, p1_pieces, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p7_found, p7_leaks]
+    listed = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p7_found, p7_leaks]
     return {f.__name__: shipped(f) for f in listed}
