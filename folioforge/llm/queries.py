@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import shipped
 from ..tables import table, unique_rows
-from . import forms, langid, leak, pairs, split
+from . import align, forms, langid, leak, pairs, split
 
 DEFAULT_TARGET_WORDS = 600
 
@@ -205,6 +205,23 @@ def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
     return unique_rows(rows.drop("second"), "document_id", "segment_no")
 
 
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of sentences of bilingual deposits that translate each other, with their cosine.
+
+    A document is the unit of work; the filter on its source reaches the scan.
+    """
+    documents = table(spark, folder, "documents").select(
+        "document_id", "source", "target_lang", "parsed_document_json", "translations_json"
+    )
+    space = align.Space(align.training_pairs(documents), language_model(spark, folder))
+    rows = align.aligned(documents.where("source = 'bilingual_deposit'"), space)
+    return rows.groupBy(*[c for c in rows.columns if c != "cosine"]).agg(F.max("cosine").alias("cosine"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pairs(spark, folder).drop("cosine")
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold 20 words or more in a row of a benchmark item, with the longest such run."""
     return leak.contained(
@@ -218,5 +235,6 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p7_found, p7_leaks]
+    listed = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p5_found, p5_pairs,
+              p7_found, p7_leaks]
     return {f.__name__: shipped(f) for f in listed}
