@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import shipped
 from ..tables import table, unique_rows
-from . import align, forms, langid, leak, pairs, split
+from . import align, forms, langid, leak, pairs, reading, split
 
 DEFAULT_TARGET_WORDS = 600
 
@@ -234,7 +234,27 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
+BAND_WORDS = 50
+
+
+def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The reading level and band of every document."""
+    labels = table(spark, folder, "reading_labels").where("band is not null")
+    labels = labels.select("doc_id", "labeller", "band").distinct()
+    return reading.bands(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        labels.groupBy("doc_id").agg(F.avg("band").alias("level")),
+        language_model(spark, folder),
+    )
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The band of each document of 50 words or more."""
+    return p8_levels(spark, folder).where((F.col("words") >= BAND_WORDS) & F.col("band").isNotNull()).select("doc_id", "band")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p5_found, p5_pairs,
-              p7_found, p7_leaks]
+              p7_found, p7_leaks, p8_found,
+              p8_levels]
     return {f.__name__: shipped(f) for f in listed}
