@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import shipped
+from ..session import written
 from ..tables import table, unique_rows
-from . import align, forms, langid, leak, pairs, reading, split
+from . import align, forms, langid, leak, packing, pairs, reading, split
 
 DEFAULT_TARGET_WORDS = 600
 
@@ -222,6 +223,30 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pairs(spark, folder).drop("cosine")
 
 
+def p6_containers(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """Where every document's text lies in the containers of each token capacity of size_specs.
+
+    Texts are cut into tokens once; key and length go to a table in the shared folder, from which the
+    histogram and the placement read.
+    """
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    counts = packing.token_counts(documents, "doc_id", "text", vocabulary or packing.vocabulary_path())
+    counts = unique_rows(counts, "doc_id")
+    specs = table(spark, folder, "size_specs").where("unit = 'tokens'").select("spec_name", "capacity")
+    return packing.pack(written(counts, "token-counts"), specs, "doc_id")
+
+
+def p6_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity the containers, their tokens, and the share of their space that is used."""
+    rows = p6_containers(spark, folder).groupBy("spec_name", "capacity", "container_id").agg(F.sum("tokens").alias("n"))
+    return rows.groupBy("spec_name", "capacity").agg(
+        F.count("*").alias("containers"),
+        F.sum("n").alias("tokens"),
+        F.max("n").alias("fullest"),
+        (F.sum("n") / (F.count("*") * F.first("capacity"))).alias("used_share"),
+    )
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold 20 words or more in a row of a benchmark item, with the longest such run."""
     return leak.contained(
@@ -255,6 +280,6 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p5_found, p5_pairs,
-              p7_found, p7_leaks, p8_found,
+              p6_containers, p6_usage, p7_found, p7_leaks, p8_found,
               p8_levels]
     return {f.__name__: shipped(f) for f in listed}
