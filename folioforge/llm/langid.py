@@ -34,8 +34,8 @@ LANGUAGES = ("de", "en", "es", "fr", "pt")
 ORDERS = (2, 3, 4)
 BITS = 18
 TRAIN_DOCS = 400
-TRAIN_TEXTS = 2500
-LANDMARKS = 100
+TRAIN_TEXTS = 2000
+LANDMARKS = 80
 RIDGE = 0.05
 _STEP = np.uint64(0x100000001B3)
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
@@ -104,7 +104,14 @@ class Model:
     sharpness: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Texts x languages; the batched product of presence and weight matrix."""
+        """Texts x languages; the batched product of presence and weight matrix.
+
+        However many texts there are, groups of a bounded size are worked on one by one.
+        """
+        parts = [self._group_scores(texts[a:b]) for a, b in groups(texts)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(LANGUAGES)))
+
+    def _group_scores(self, texts: list[str]) -> np.ndarray:
         row, bucket, n = gram_sets(texts)
         out = np.zeros((len(texts), len(LANGUAGES)))
         if len(row):
@@ -133,23 +140,26 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     sets = np.zeros((len(vocabulary), len(marks)), np.float32)
     for j, m in enumerate(marks):
         sets[where[bucket[starts[m] : starts[m + 1]]], j] = 1 / root[m]
-    kernel = np.empty((len(texts), len(marks)))
+    kernel = np.empty((len(texts), len(marks)), np.float32)
     for i in range(len(texts)):
         at = where[bucket[starts[i] : starts[i + 1]]]
         kernel[i] = sets[at[at >= 0]].sum(axis=0) / root[i]
-    value, vector = np.linalg.eigh(kernel[marks] + 1e-6 * np.eye(len(marks)))
+    del row, bucket
+    value, vector = np.linalg.eigh(kernel[marks].astype(float) + 1e-6 * np.eye(len(marks)))
     half = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    target = np.where(np.arange(len(LANGUAGES)) == y[:, None], 1.0, -1.0)
+    target = np.where(np.arange(len(LANGUAGES)) == y[:, None], 1.0, -1.0).astype(np.float32)
 
-    def solve(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, t = kernel[rows] @ half, target[rows]
-        mean, bias = x.mean(axis=0), t.mean(axis=0)
-        x = x - mean
-        beta = np.linalg.solve(x.T @ x + RIDGE * len(rows) * np.eye(x.shape[1]) / 100, x.T @ (t - bias))
-        return half @ beta, bias - mean @ beta
+    def solve(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients from the first n texts; only products of kernel columns are formed."""
+        k, t = kernel[:n], target[:n]
+        mean, bias = k.mean(axis=0, dtype=float), t.mean(axis=0, dtype=float)
+        inner = half @ ((k.T @ k).astype(float) - n * np.outer(mean, mean)) @ half
+        outer = half @ ((k.T @ t).astype(float) - n * np.outer(mean, bias))
+        beta = np.linalg.solve(inner + RIDGE * n * np.eye(len(marks)) / 100, outer)
+        return half @ beta, bias - mean @ half @ beta
 
     cut = max(1, len(texts) * 4 // 5)
-    alpha, bias = solve(np.arange(cut))
+    alpha, bias = solve(cut)
     held = kernel[cut:] @ alpha + bias if cut < len(texts) else kernel @ alpha + bias
     truth = y[cut:] if cut < len(texts) else y
 
@@ -159,9 +169,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), truth]))
 
     sharpness = min((1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0), key=loss)
-    alpha, bias = solve(np.arange(len(texts)))
+    alpha, bias = solve(len(texts))
     weights = np.zeros((1 << BITS, len(LANGUAGES)), np.float32)
-    weights[vocabulary] = sets @ alpha
+    weights[vocabulary] = sets @ alpha.astype(np.float32)
     return Model(weights, bias, sharpness)
 
 
@@ -201,6 +211,7 @@ def train(documents: DataFrame) -> Model:
             if len(value.split()) >= 3:
                 parts = SENTENCE_END.split(value)
                 texts[lang] += [value, *(p for p in parts if len(parts) > 1 and len(p.split()) >= 3)]
+    del sample
     pairs = []
     rng = np.random.default_rng(11)
     for lang, all_of in texts.items():
