@@ -44,6 +44,7 @@ GRID = np.linspace(1.0, 3.0, 5)
 LEVELS = np.linspace(0.5, 3.5, 121)
 LEAST_COUNT = 4.0
 SLOPE_SPREAD = 1.5
+ITEMS_AT_ONCE = 8192
 LEVEL_SPREAD = 1.0
 
 
@@ -103,12 +104,28 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_items(counts: np.ndarray) -> Items:
-    """Word parameters from occurrences by item and grid level: Newton steps for all items at once."""
+    """Word parameters from occurrences by item and grid level.
+
+    Items don't depend on each other, so Newton steps run for some thousands at once: what is held
+    besides the counts doesn't grow with the vocabulary.
+    """
     langs = len(LANGUAGES)
-    x = GRID - 2
+    rates = np.stack([counts[g::langs].sum(axis=0) for g in range(langs)]) + 1e-9
     known = counts.sum(axis=1) >= LEAST_COUNT
-    c, lang = counts[known], np.flatnonzero(known) % langs
-    rate = np.stack([counts[g::langs].sum(axis=0) for g in range(langs)])[lang] + 1e-9
+    slopes, z = np.zeros(len(counts)), np.zeros((langs, len(LEVELS)))
+    at = np.flatnonzero(known)
+    for start in range(0, len(at), ITEMS_AT_ONCE):
+        some = at[start : start + ITEMS_AT_ONCE]
+        lang = some % langs
+        easy, slopes[some] = _newton(counts[some], rates[lang])
+        shares = np.exp(easy[:, None] + slopes[some][:, None] * (LEVELS - 2))
+        np.add.at(z, lang, shares)
+    return Items(slopes, known, np.log(np.where(z > 0, z, 1.0)))
+
+
+def _newton(c: np.ndarray, rate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Easiness and slope of items from counts and expected rates, items x grid levels."""
+    x = GRID - 2
     easy, slope = np.log(c.sum(axis=1) / rate.sum(axis=1)), np.zeros(len(c))
     for _ in range(25):
         mu = np.exp(np.clip(easy[:, None] + slope[:, None] * x, -40, 3)) * rate
@@ -117,13 +134,7 @@ def fit_items(counts: np.ndarray) -> Items:
         det = np.maximum(h00 * h11 - h01**2, 1e-12)
         easy = easy + np.clip((h11 * g0 - h01 * g1) / det, -1, 1)
         slope = slope + np.clip((h00 * g1 - h01 * g0) / det, -1, 1)
-    log_z = np.zeros((langs, len(LEVELS)))
-    for g in range(langs):
-        if (lang == g).any():
-            log_z[g] = np.log(np.exp(easy[lang == g][:, None] + slope[lang == g][:, None] * (LEVELS - 2)).sum(axis=0))
-    slopes = np.zeros(len(counts))
-    slopes[known] = slope
-    return Items(slopes, known, log_z)
+    return easy, slope
 
 
 def _spread(level: np.ndarray) -> np.ndarray:
@@ -165,9 +176,16 @@ def occurrence_sums(rows: DataFrame, items: Items | None) -> np.ndarray:
 
     schema = "item int, " + ", ".join(f"{n} double" for n in names)
     parts = rows.select("items", "known_level").mapInArrow(run, schema)
-    found = parts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]).toPandas()  # ITEMS rows at most
+    total = F.lit(0.0)
+    for n in names:
+        total = total + F.col(n)
+    # ITEMS rows at most; those too rare to tell anything stay behind
+    kept = parts.groupBy("item").agg(*[F.sum(n).alias(n) for n in names]).where(total >= LEAST_COUNT)
+    found = kept.toArrow()
     counts = np.zeros((ITEMS, len(GRID)))
-    counts[found["item"].to_numpy()] = found[names].to_numpy()
+    at = found.column("item").to_numpy()
+    for g, n in enumerate(names):
+        counts[at, g] = found.column(n).to_numpy()
     return counts
 
 
