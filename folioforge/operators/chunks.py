@@ -128,5 +128,7 @@ def section_chunks(sections: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def chunk_blocks(chunks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """The blocks of each chunk in order; ids without a block are left out."""
-    ids = chunks.select("document_id", "chunk_id", F.posexplode("paragraph_ids").alias("position", "paragraph_id"))
+    ids = chunks.select(
+        "document_id", "chunk_id", "chunk_index", F.posexplode("paragraph_ids").alias("position", "paragraph_id")
+    )
     return ids.join(paragraphs, ["document_id", "paragraph_id"])

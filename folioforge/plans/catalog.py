@@ -425,7 +425,7 @@ def table_roles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @add(f"""WITH {ENTRIES_SQL},
-    r AS (SELECT document_id, block_id, list_transform(json_extract(j, '$."' || block_id || '".table_rows[*]'),
+    r AS (SELECT document_id, block_id, list_transform(json_extract(json_extract(j, '$."' || block_id || '".table_rows'), '$[*]'),
                  lambda x: json_array_length(x)) AS given
           FROM e0 WHERE json_type(j, '$."' || block_id || '".table_rows') = 'ARRAY'), {BLOCKS_SQL},
     s AS (SELECT document_id, block_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: {X.strip_sql("x")} <> ''),

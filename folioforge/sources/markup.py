@@ -79,10 +79,6 @@ class _Builder(HTMLParser):
     def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None, 0, len(source))
-        self.lines = [0]
-        for line in source.splitlines(keepends=True):
-            self.lines.append(self.lines[-1] + len(line))
-        # the parser counts "\n" only, while splitlines knows more line ends
         self.lines = [0, *(m.end() for m in re.finditer("\n", source))]
         self.feed(source)
         self.close()

@@ -40,16 +40,15 @@ def route(name: Column, formats: tuple[str, ...] = ("txt", "docx", "epub")) -> C
 
 
 def files(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The files of a folder with their format; empty, too large and unknown ones have an error.
+    """The files of a folder with their format; too large and unknown ones have an error.
 
-    The content of rejected files isn't read.
+    The content of rejected files isn't read. Files without a byte have no row: Spark's file sources
+    pass over them.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     fmt = route(F.col("path"), FORMATS)
     error = (
-        F.when(fmt == "unsupported", "unsupported format")
-        .when(F.col("length") == 0, "empty file")
-        .when(F.col("length") > most_bytes, "file too large")
+        F.when(fmt == "unsupported", "unsupported format").when(F.col("length") > most_bytes, "file too large")
     )
     return rows.select(
         X.stable_id("doc_", F.col("path")).alias("document_id"), "path", fmt.alias("source_format"), "length",

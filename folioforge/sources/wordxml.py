@@ -135,11 +135,11 @@ def container_kind(element: ET.Element) -> str | None:
 class Inline:
     """The text of an element, plain and with tokens in the place of what must survive."""
 
-    def __init__(self, element: ET.Element):
+    def __init__(self, element: ET.Element, marking: bool = True):
         self.tokens: list[Token] = []
         self._plain: list[str] = []
         self._marked: list[str] = []
-        self._walk(element, None, True)
+        self._walk(element, None, marking)
         self.plain, self.marked = tidy("".join(self._plain)), tidy("".join(self._marked))
 
     def _new(self, kind: str, element: ET.Element, **more: Any) -> Token:
@@ -154,7 +154,7 @@ class Inline:
             how = alignment(element) or how
         start = None
         if marking and name in OBJECTS:
-            self._new(OBJECTS[name], element, text=Inline(element).plain if len(element) else "")
+            self._new(OBJECTS[name], element, text=plain_text(element))
             marking = False
         elif marking and (kind := container_kind(element)):
             start = self._new("container_start", element, container_kind=kind)
@@ -178,7 +178,7 @@ class Inline:
 
 
 def plain_text(element: ET.Element) -> str:
-    return Inline(element).plain
+    return Inline(element, marking=False).plain
 
 
 # ---- reading ----

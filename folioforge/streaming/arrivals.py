@@ -20,8 +20,7 @@ def arriving_files(spark: SparkSession, folder: str, most_files: int = 1000) ->
         .option("recursiveFileLookup", "true").load(folder)
     )
     fmt = packages.route(F.col("path"), packages.FORMATS)
-    error = F.when(fmt == "unsupported", "unsupported format").when(F.col("length") == 0, "empty file")
-    error = error.when(F.col("length") > packages.MOST_BYTES, "file too large")
+    error = F.when(fmt == "unsupported", "unsupported format").when(F.col("length") > packages.MOST_BYTES, "file too large")
     return rows.select(
         packages.X.stable_id("doc_", F.col("path")).alias("document_id"), "path", fmt.alias("source_format"), "length",
         error.alias("error"), F.when(error.isNull(), F.col("content")).alias("content"),

@@ -126,7 +126,7 @@ def test_docx_table_shapes():
 
 
 PAGE = """<html><head><title>x</title></head><body><h1>One &amp; two</h1><p>Text <b>bold</b>.<p>Second
-<ul><li>a<li>b <ol><li>c</li></ol></ul><div hidden><p>no</p></div><p style="display: none">no</p>
+<ul><li>a<li>b <ol><li>c</li></ol></ul><div hidden><p>seen</p></div><p hidden>no</p><p style="display: none">no</p>
 <span epub:type="pagebreak" id="p1">7</span><aside class="footnote">note</aside><nav>skip</nav><pre>code</pre>
 <table><tr><th>h</th><td colspan="2">1</td></tr></table><img src="i.png" alt="pic"/><blockquote><p>said</p></blockquote>
 <p>* * *</p><h2></h2></body></html>"""
@@ -136,10 +136,10 @@ def test_html_blocks():
     found = markup.html_sites(PAGE)
     assert [(b.type, b.text) for b in found] == [
         ("heading", "One & two"), ("paragraph", "Text bold ."), ("paragraph", "Second"), ("list_item", "a"),
-        ("list_item", "b c"), ("page_break", "7"), ("footnote", "note"), ("toc", "skip"), ("code", "code"),
+        ("list_item", "b c"), ("paragraph", "seen"), ("page_break", "7"), ("footnote", "note"), ("toc", "skip"), ("code", "code"),
         ("table", "h\t1"), ("image", ""), ("quote", "said"), ("special", "* * *"),
     ]
-    assert found[3].metadata["list_type"] == "ul" and found[9].metadata["has_merged_cells"]
+    assert found[3].metadata["list_type"] == "ul" and found[10].metadata["has_merged_cells"]
     assert [b.translate for b in found if b.type in ("toc", "code", "page_break", "image")] == [False] * 4
     assert markup.html_sites("") == [] and markup.html_sites("just text") == []
 
@@ -180,7 +180,7 @@ def test_files_with_spark(spark, tmp_path):
     assert texts[("a.txt", "b0002")] == "Two\nlines." and texts[("a.txt", "b0003")] == "Three"
     assert texts[("b.docx", "b0001")] == "Hello" and texts[("d.html", "b0001")] == "Page"
     errors = {os.path.basename(r.path): r.error for r in rows.where("error is not null").collect()}
-    assert set(errors) == {"e.pdf", "f.docx", "g.txt", "h.docx"} and errors["e.pdf"] == "unsupported format"
+    assert set(errors) == {"e.pdf", "f.docx", "h.docx"} and errors["e.pdf"] == "unsupported format"
     given = rows.where("error is null and translatable").selectExpr(
         "document_id", "block_id", "concat('X ', text) as translated_text", "cast(null as array<array<string>>) as table_rows"
     )
