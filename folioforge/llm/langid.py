@@ -35,6 +35,9 @@ ORDERS = (2, 3, 4)
 BITS = 18
 TRAIN_DOCS = 400
 TRAIN_TEXTS = 2000
+#: Of each such document so many translated blocks at most, each of so many characters at most.
+TRAIN_BLOCKS = 60
+TRAIN_CHARS = 20_000
 LANDMARKS = 80
 RIDGE = 0.05
 _STEP = np.uint64(0x100000001B3)
@@ -190,7 +193,10 @@ def translated_texts(translations: DataFrame, key: str, target: str, json: str)
     drawn = rows.withColumn("place", place).where(F.col("place") < share).dropDuplicates([key])
     sample = (
         drawn.withColumn("map", F.from_json(json, "map<string,string>"))
-        .select(key, target, "place", F.map_values("map").alias("texts"))
+        .select(
+            key, target, "place",
+            F.slice(F.filter(F.map_values("map"), lambda t: F.length(t) <= TRAIN_CHARS), 1, TRAIN_BLOCKS).alias("texts"),
+        )
         .toPandas()
         .sort_values(["place", key])
     )
