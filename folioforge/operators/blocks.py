@@ -32,13 +32,15 @@ PARSED = T.StructType(
 )
 
 
-def current_blocks(blocks: DataFrame) -> DataFrame:
+def current_blocks(blocks: DataFrame, by_document: bool = False) -> DataFrame:
     """One row a block: the last extraction; a missing flag follows the type.
 
-    The window's key is (document, block), so no document or owner gathers in one task.
+    The window's key is (document, block), so no document or owner gathers in one task. With
+    ``by_document`` the rows are laid out by document at once, which the window accepts too: what
+    follows within documents then needs no shuffle of its own.
     """
     rows = latest_rows(
-        blocks, ["document_id", "block_id"],
+        blocks.repartition("document_id") if by_document else blocks, ["document_id", "block_id"],
         F.desc_nulls_last("extracted_at"), F.desc_nulls_last("translatable"), F.asc_nulls_last("block_index"),
     )
     flag = F.coalesce("translatable", ~F.coalesce("block_type", F.lit("paragraph")).isin(*FIXED_TYPES))

@@ -43,12 +43,22 @@ def sectioned(paragraphs: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def sections(paragraphs: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row a section: its blocks in order, words, and a preview of its text."""
-    rows = paragraphs.join(sectioned(paragraphs, targets), ["document_id", "n"])
-    ordered = F.array_sort(F.collect_list(F.struct("n", "block_id", X.strip(X.without_tokens(F.col("text"))).alias("t"))))
-    rows = rows.groupBy("document_id", "section").agg(
-        ordered.alias("bs"), F.sum("words").alias("word_count"), F.count("*").alias("block_count")
+    """One row a section: its blocks in order, words, and a preview of its text.
+
+    Everything happens within documents: where paragraphs are laid out by document already, only the
+    targets are shuffled.
+    """
+    shown = X.strip(X.without_tokens(F.col("text"))).alias("t")
+    units = paragraphs.groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.struct("n", "words", "block_id", shown))).alias("us")
     )
+    units = units.join(targets, "document_id")
+    packing = packed(F.transform("us", lambda u: u["words"]), F.col("target"))
+    rows = units.select("document_id", F.explode(F.arrays_zip(F.col("us").alias("u"), packing.alias("section"))).alias("z"))
+    rows = rows.select("document_id", "z.section", "z.u.*").groupBy("document_id", "section").agg(
+        F.array_sort(F.collect_list(F.struct("n", "block_id", "t"))).alias("bs"),
+        F.sum("words").alias("word_count"), F.count("*").alias("block_count"),
+    )
     return rows.select(
         "document_id",
         X.numbered("sec_", F.col("section")).alias("section_id"),

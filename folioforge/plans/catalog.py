@@ -83,7 +83,7 @@ def _blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return blocks.numbered_paragraphs(_blocks(spark, folder))
+    return blocks.numbered_paragraphs(blocks.current_blocks(table(spark, folder, "blocks"), by_document=True))
 
 
 @add(f"""WITH {BLOCKS_SQL} SELECT document_id, block_id, block_index, block_type, translatable, block_level FROM b""")

@@ -24,6 +24,9 @@ from . import markup, wordxml
 
 FORMATS = ("txt", "docx", "epub", "html")
 MOST_BYTES = 15_728_640
+#: What a worker gathers before it hands results on.
+ROWS_AT_ONCE = 5_000
+BYTES_AT_ONCE = 16 << 20
 SUFFIXES = {"docx": ".docx", "epub": ".epub", "html": ".html"}
 
 BLOCKS = (
@@ -95,11 +98,19 @@ def read_blocks(rows: DataFrame) -> DataFrame:
     """The blocks of all files, in the columns of ``BLOCKS``; files with an error have one row with it."""
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        kinds = {"block_index": "Int32", "block_level": "Int32", "translatable": "boolean"}
+        return pd.DataFrame(found, columns=names).astype(kinds)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found: list[tuple] = []
             for row in batch.itertuples(index=False):
-                out = pd.DataFrame(_rows(row.document_id, row.path, row.content, row.source_format), columns=names)
-                yield out.astype({"block_index": "Int32", "block_level": "Int32", "translatable": "boolean"})
+                found += _rows(row.document_id, row.path, row.content, row.source_format)
+                if len(found) > ROWS_AT_ONCE:
+                    yield frame(found)
+                    found = []
+            yield frame(found)
 
     good = rows.where("error is null")
     trees = good.where("source_format <> 'txt'").select("document_id", "path", "source_format", "content")
@@ -148,8 +159,14 @@ def exported(rows: DataFrame, translations: DataFrame) -> DataFrame:
     )
     names = [c.split()[0] for c in EXPORTED.split(", ")]
 
+    def frame(done: list[list]) -> pd.DataFrame:
+        out = pd.DataFrame(done, columns=names)
+        return out.astype({"translatable_block_count": "Int32", "applied_unit_count": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            done: list[list] = []
+            size = 0
             for row in batch.itertuples(index=False):
                 given = {k: json.loads(v) for k, v in (row.given or {}).items()}
                 try:
@@ -158,8 +175,12 @@ def exported(rows: DataFrame, translations: DataFrame) -> DataFrame:
                 except Exception as e:  # a broken file is data here
                     content, report, error = None, {}, f"{type(e).__name__}: {e}"
                 values = [report.get(n) for n in names[4:8]]
-                out = pd.DataFrame([[row.document_id, row.path, row.source_format, content, *values, error]], columns=names)
-                yield out.astype({"translatable_block_count": "Int32", "applied_unit_count": "Int32"})
+                done.append([row.document_id, row.path, row.source_format, content, *values, error])
+                size += len(content or b"")
+                if size > BYTES_AT_ONCE:
+                    yield frame(done)
+                    done, size = [], 0
+            yield frame(done)
 
     good = rows.where("error is null").select("document_id", "path", "source_format", "content")
     joined = good.join(given, "document_id", "left")

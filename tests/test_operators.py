@@ -199,3 +199,35 @@ def test_activity(spark):
     assert [r.key for r in activity.appended(ledger, new, "key").collect()] == ["b"]
     page = activity.page(spark.range(10), [F.desc("id")], 2, 3).collect()
     assert [r.id for r in page] == [7, 6, 5]
+
+
+def test_checks(spark):
+    from folioforge.functions import checks
+
+    messages = {"Request timed out": True, "503 unavailable": True, "429: quota exceeded": False, "bad": False, None: False}
+    df = spark.createDataFrame([(k, v) for k, v in messages.items()], "m string, want boolean")
+    assert df.where(checks.retryable(F.col("m")) != F.col("want")).count() == 0
+    assert one(spark, checks.short_message(F.col("t"), 8), t="a  b\nc def g") == "a b c..."
+    assert one(spark, checks.json_or(F.col("t"), "array<int>", F.array(F.lit(7))), t="[1]") == [1]
+    assert one(spark, checks.json_or(F.col("t"), "array<int>", F.array(F.lit(7))), t=" ") == [7]
+
+
+def test_translation_in_order(spark):
+    from folioforge.plans import translate
+
+    seen = spark.createDataFrame(
+        [("d", f"c{i}", i, "de", json.dumps([{"block_id": f"b{i}", "source_text": f"text {i}"}]), f"text {i}") for i in range(5)],
+        "document_id string, chunk_id string, chunk_index int, target_language string, expected_json string, text string",
+    )
+
+    def translator(request):
+        block = request["blocks"][0]
+        if block["block_id"] == "b3":
+            raise RuntimeError("down")
+        before = "|".join(c["translated_text"] for c in request["context"])
+        return json.dumps({"block_translations": [{"block_id": block["block_id"], "translated_text": f"{block['source_text']} ({before})"}],
+                           "glossary": [{"source_terms": [block["source_text"]], "target_terms": ["x"]}]})
+
+    rows = translate.in_order(seen, translator, context=1).orderBy("chunk_index").collect()
+    assert [r.translated_text for r in rows] == ["text 0 ()", "text 1 (text 0 ())", "text 2 (text 1 (text 0 ()))", "text 3", "text 4 (text 3)"]
+    assert [r.glossary_size for r in rows] == [0, 1, 2, 3, 3]

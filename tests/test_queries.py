@@ -3,6 +3,7 @@
 import pytest
 from compare import compare, connection
 
+import folioforge.plans.documents  # noqa: F401  (adds its queries)
 from folioforge.plans.catalog import REGISTRY
 
 FEW = {"blocks_differing_from_json", "parse_deltas", "unused_translations", "late_usage", "usage_without_job", "table_translations",
