@@ -124,10 +124,11 @@ def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of a document with terms of one form but different characters.
 
-    Groups of exact copies are left out by an aggregate (partial before the shuffle) first; what is
-    left joins on document, field and form.
+    Forms are made once and read from a table in the shared folder. Groups of exact copies are left
+    out by an aggregate (partial before the shuffle) first; what is left joins on document, field and
+    form.
     """
-    terms = p3_forms(spark, folder).where("form <> ''")
+    terms = written(p3_forms(spark, folder).where("form <> ''"), "forms")
     keys = ["document_id", "field_name", "form"]
     differing = terms.groupBy(*keys).agg(F.min("term").alias("lo"), F.max("term").alias("hi")).where("lo <> hi")
     some = terms.join(differing.select(*keys), keys, "left_semi")
