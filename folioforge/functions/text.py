@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import PYTHON_SPACE, re2
+from .words import PYTHON_SPACE, PYTHON_SPACE_CHARS, re2
 
 _SPACE = f"[{PYTHON_SPACE}]"
 TOKEN = r"\[\[INLINE_\d{4}\]\]"
@@ -37,7 +37,7 @@ def sub_sql(text: str, pattern: str, to: str) -> str:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, of all kinds that Python's str.strip knows."""
-    return sub(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(PYTHON_SPACE_CHARS))
 
 
 def strip_sql(text: str) -> str:
@@ -46,7 +46,7 @@ def strip_sql(text: str) -> str:
 
 def blank(text: Column) -> Column:
     """True for null and for white space only."""
-    return text.isNull() | (strip(text) == "")
+    return text.isNull() | ~text.rlike(f"[^{PYTHON_SPACE}]")
 
 
 def inline_text(text: Column) -> Column:

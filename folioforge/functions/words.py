@@ -16,7 +16,9 @@ def _char_class(ranges: list[tuple[int, int]]) -> str:
 
 WHITE_SPACE = _char_class(SPACES)
 #: What Python's str.isspace counts: the separators U+001C to U+001F besides.
-PYTHON_SPACE = _char_class([*SPACES, (0x1C, 0x1F)])
+PYTHON_SPACES = [*SPACES, (0x1C, 0x1F)]
+PYTHON_SPACE = _char_class(PYTHON_SPACES)
+PYTHON_SPACE_CHARS = "".join(chr(c) for a, b in PYTHON_SPACES for c in range(a, b + 1))
 
 WORD = f"[^{WHITE_SPACE}]+"
 PYTHON_WORD = f"[^{PYTHON_SPACE}]+"

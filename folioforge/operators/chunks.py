@@ -70,14 +70,13 @@ def chunked(documents: DataFrame, text: str = "text", most: int = DEFAULT_WORDS)
         "document_id", "n", (F.col("part") + 1).alias("part"), "part_count", "text", count_words(F.col("text")).alias("w")
     )
     units = whole.unionByName(long)
-    item = F.struct("n", "part", "part_count", "w")
-    rows = units.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("us"))
-    rows = rows.withColumn("chunk", _packed(F.col("us"), most))
-    placed = F.arrays_zip(F.col("us").alias("u"), F.col("chunk").alias("chunk"))
-    rows = rows.select("document_id", F.explode(placed).alias("z")).select("document_id", "z.u.n", "z.u.part", "z.chunk")
-    units = units.join(rows, ["document_id", "n", "part"])
+    rows = units.groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.struct("n", "part", "part_count", "w", "text"))).alias("us")
+    )
+    placed = F.arrays_zip(F.col("us").alias("u"), _packed(F.col("us"), most).alias("chunk"))
+    rows = rows.select("document_id", F.explode(placed).alias("z")).select("document_id", "z.u.*", "z.chunk")
     ordered = F.array_sort(F.collect_list(F.struct("n", "part", "text")))
-    out = units.groupBy("document_id", F.col("chunk").alias("chunk_index")).agg(
+    out = rows.groupBy("document_id", F.col("chunk").alias("chunk_index")).agg(
         ordered.alias("us"), F.sum("w").alias("source_word_count"), F.max("part_count").alias("parts"),
         F.min("part").alias("part"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,14 +123,20 @@ MERGED = (
 def merged(entries: DataFrame) -> DataFrame:
     """The glossary of each document from sanitized entries(document_id, chunk_id, entry_ordinal, ...).
 
-    The fold depends on order within a document; documents are independent.
+    The fold depends on order within a document; documents are independent. A document's entries come
+    as one sorted array, and many documents in one batch.
     """
     names = [part.split()[0] for part in MERGED.split(", ")]
-
-    def fold(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = batch.sort_values(["chunk_id", "entry_ordinal"], kind="stable").to_dict("records")
-        return pd.DataFrame(merge_entries(rows), columns=names)
-
-    wanted = ["document_id", "chunk_id", "entry_ordinal", "source_terms", "target_terms", "preferred_target",
-              "category", "priority", "reason"]
-    return entries.select(*wanted).groupBy("document_id").applyInPandas(fold, MERGED)
+    wanted = ["chunk_id", "entry_ordinal", "source_terms", "target_terms", "preferred_target", "category", "priority", "reason"]
+    lists = ("source_terms", "target_terms")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, found in zip(batch["document_id"], batch["entries"]):
+                rows = [{**dict(e), **{n: list(e[n]) for n in lists}} for e in found]
+                out += [{**m, "document_id": key} for m in merge_entries(rows)]
+            yield pd.DataFrame(out, columns=names)
+
+    ordered = F.array_sort(F.collect_list(F.struct(*wanted))).alias("entries")
+    return entries.groupBy("document_id").agg(ordered).mapInPandas(run, MERGED)

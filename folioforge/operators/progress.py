@@ -13,33 +13,36 @@ REST_CHUNK_WORDS = 1500
 def section_status(sections: DataFrame, translations: DataFrame) -> DataFrame:
     """Sections with their translated blocks and status.
 
-    Block ids are exploded and joined to the translated keys; texts aren't moved.
+    Block ids are exploded, joined to the translated keys and counted back; the sections' other columns
+    ride along, so their plan runs once.
     """
     keys = translations.select("document_id", "block_id").distinct().withColumn("done", F.lit(1))
-    ids = sections.select("document_id", "section_index", F.explode_outer("block_ids").alias("block_id"))
-    counts = (
-        ids.join(keys, ["document_id", "block_id"], "left")
-        .groupBy("document_id", "section_index")
-        .agg(F.count("done").alias("translated_blocks"))
+    others = [c for c in sections.columns if c not in ("document_id", "section_index")]
+    rows = sections.withColumn("block_id", F.explode_outer("block_ids")).join(keys, ["document_id", "block_id"], "left")
+    rows = rows.groupBy("document_id", "section_index").agg(
+        *[F.first(c).alias(c) for c in others], F.count("done").alias("translated_blocks")
     )
     n, done = F.size("block_ids"), F.col("translated_blocks")
     status = (
         F.when(n == 0, "empty").when(done == n, "translated").when(done > 0, "partial").otherwise("not_translated")
     )
-    return sections.join(counts, ["document_id", "section_index"]).withColumn("status", status)
+    return rows.withColumn("status", status)
+
+
+#: The last section of the translated beginning, 0 for none, as an aggregate over a document's sections.
+CURSOR = "cast(coalesce(min(if(status <> 'translated', section_index, null)) - 1, max(section_index)) as int)"
 
 
 def cursors(status: DataFrame) -> DataFrame:
-    """(document_id, cursor): the last section of the translated beginning, 0 for none."""
-    first_open = F.min(F.when(F.col("status") != "translated", F.col("section_index")))
-    return status.groupBy("document_id").agg(
-        F.coalesce(first_open - 1, F.max("section_index")).cast("int").alias("cursor")
-    )
+    """(document_id, cursor)."""
+    return status.groupBy("document_id").agg(F.expr(CURSOR).alias("cursor"))
 
 
 def with_actions(status: DataFrame) -> DataFrame:
     """What can be done with a section: the one after the cursor is next, those beyond are locked."""
-    rows = status.join(cursors(status), "document_id")
+    document = Window.partitionBy("document_id")
+    first_open = F.min(F.when(F.col("status") != "translated", F.col("section_index"))).over(document)
+    rows = status.withColumn("cursor", F.coalesce(first_open - 1, F.max("section_index").over(document)).cast("int"))
     at, cursor = F.col("section_index"), F.col("cursor")
     action = (
         F.when((F.col("status") == "translated") & (at == cursor), "retranslate_last")
@@ -75,12 +78,11 @@ def summaries(status: DataFrame) -> DataFrame:
     def number(name: str) -> Column:
         return F.count(F.when(F.col("status") == name, 1)).alias(f"{name}_sections")
 
-    totals = status.groupBy("document_id").agg(
+    return status.groupBy("document_id").agg(
         F.count("*").alias("section_count"), number("translated"), number("partial"), number("not_translated"),
         F.sum("word_count").alias("word_count"), F.sum(F.size("block_ids")).alias("block_count"),
-        F.sum("translated_blocks").alias("translated_block_count"),
+        F.sum("translated_blocks").alias("translated_block_count"), F.expr(CURSOR).alias("cursor"),
     )
-    return totals.join(cursors(status), "document_id")
 
 
 def preceding(rows: DataFrame, k: int, by: str, item: str) -> DataFrame:

@@ -270,9 +270,8 @@ def document_summary(spark: SparkSession, folder: str) -> DataFrame:
     FROM cur WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.document_id = cur.document_id AND s.section = cur.cursor + 1)""")
 def next_sections(spark: SparkSession, folder: str) -> DataFrame:
     """The section to translate next and the one translated last."""
-    status = _status(spark, folder)
-    ends = status.groupBy("document_id").agg(F.max("section_index").alias("last_index"))
-    rows = progress.cursors(status).join(ends, "document_id")
+    ends = F.max("section_index").alias("last_index")
+    rows = _status(spark, folder).groupBy("document_id").agg(F.expr(progress.CURSOR).alias("cursor"), ends)
     return rows.select(
         "document_id", "cursor",
         F.when(F.col("cursor") < F.col("last_index"), X.numbered("sec_", F.col("cursor") + 1)).alias("next_section_id"),
