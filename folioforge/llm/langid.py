@@ -40,6 +40,8 @@ TRAIN_BLOCKS = 60
 TRAIN_CHARS = 20_000
 LANDMARKS = 80
 RIDGE = 0.05
+#: Longer ones, of texts without sentence ends, are scored in pieces, which bounds the memory.
+LONGEST_SENTENCE = 20_000
 _STEP = np.uint64(0x100000001B3)
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
 
@@ -233,8 +235,8 @@ def language_shares(texts: list[str], model: Model) -> np.ndarray:
     sentences, owner = [], []
     for i, text in enumerate(texts):
         for part in SENTENCE_END.split(text):
-            if part:
-                sentences.append(part)
+            for at in range(0, len(part), LONGEST_SENTENCE):
+                sentences.append(part[at : at + LONGEST_SENTENCE])
                 owner.append(i)
     out = np.zeros((len(texts), len(LANGUAGES)))
     for a, b in groups(sentences):

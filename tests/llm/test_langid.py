@@ -46,3 +46,12 @@ def test_labels(spark):
               "nl": None, "und": None, None: None}
     df = spark.createDataFrame([(k, v) for k, v in labels.items()], "label string, want string")
     assert df.where(~label_language(df.label).eqNullSafe(df.want)).count() == 0
+
+
+def test_very_long_text():
+    from folioforge.llm.langid import language_shares
+
+    text = TEXTS["fr"].replace(".", "") * 20_000
+    shares = language_shares([text, "", "a"], model())
+    assert LANGUAGES[int(np.argmax(shares[0]))] == "fr" and abs(shares[0].sum() - len(text.split())) < 300
+    assert shares[1].sum() == 0
