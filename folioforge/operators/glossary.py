@@ -51,6 +51,7 @@ def sanitized(entries: DataFrame) -> DataFrame:
 def appears(term: Column, text: Column) -> Column:
     """Whether a term stands in a text: any white space between its words, no regard to case, and no
     letter or digit beside an end of the term that is one itself."""
+
     def plain(x: Column) -> Column:
         return F.replace(F.replace(x, F.lit("\u00ad"), F.lit("")), F.lit("\u00a0"), F.lit(" "))
 
@@ -65,8 +66,7 @@ def appears(term: Column, text: Column) -> Column:
 def relevant(entries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Entries that matter for a chunk: of high priority, or with a source term in its text.
 
-    Both sides meet by document. The text goes to each entry of its document once; a cheap test for
-    the term's longest word precedes the pattern.
+    Both sides meet by document; the text goes to each entry of its document once.
     """
     rows = chunks.select("document_id", "chunk_id", "text").join(entries, "document_id")
     some = F.exists("source_terms", lambda t: appears(t, F.col("text")))
