@@ -5,8 +5,8 @@ tables replaces each by what it looks like; combining marks are ordered by their
 cluster, clusters are recomposed by a second broadcast join, and the string is put together again.
 
 Both tables come from Unicode's own data by rule and have a fixed size. All steps after the explode
-share one hash partitioning by text, so there is one shuffle; a text is the largest unit that meets
-in a task. Printable ASCII is its own form and isn't exploded.
+share one hash partitioning by text, so code points are shuffled once; a text is the largest unit
+that meets in a task. Printable ASCII is its own form and isn't exploded.
 """
 
 from __future__ import annotations
