@@ -35,7 +35,7 @@ SIMPLE = {"p": "paragraph", "li": "list_item", "blockquote": "quote", "figcaptio
 UNSEEN = {"script", "style", "head", "template"}
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict[str, str]
