@@ -42,7 +42,12 @@ LANDMARKS = 80
 RIDGE = 0.05
 #: Longer ones, of texts without sentence ends, are scored in pieces, which bounds the memory.
 LONGEST_SENTENCE = 20_000
+#: Four words in a row are running text. In lines of less (cells, bare nouns, which neighbouring languages spell alike)
+#: the best language of a line tells little by itself: there the probability must be clear.
+RUNNING = re.compile(r"(?:[^\W\d_][^\s|]*[^\S\n]+){3}[^\W\d_]")
+CLEAR = 0.75
 _STEP = np.uint64(0x100000001B3)
+_LETTERED = re.compile(r"\S*[^\W\d_]\S*")
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
 
 # Names and codes of the five languages, lower case.
@@ -230,31 +235,50 @@ def train(documents: DataFrame) -> Model:
     return fit([t for t, _ in pairs], [c for _, c in pairs])
 
 
-def language_shares(texts: list[str], model: Model) -> np.ndarray:
-    """Texts x languages: the words of each text by language, from the probabilities of its sentences."""
+def _sentence_shares(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Texts x languages, twice: words by the probabilities of their sentences, and words with a letter by
+    the best language of each sentence."""
     sentences, owner = [], []
     for i, text in enumerate(texts):
         for part in SENTENCE_END.split(text):
             for at in range(0, len(part), LONGEST_SENTENCE):
                 sentences.append(part[at : at + LONGEST_SENTENCE])
                 owner.append(i)
-    out = np.zeros((len(texts), len(LANGUAGES)))
+    soft, hard = (np.zeros((len(texts), len(LANGUAGES))) for _ in range(2))
     for a, b in groups(sentences):
         words = np.fromiter((len(s.split()) for s in sentences[a:b]), float, b - a)
-        np.add.at(out, owner[a:b], model.probabilities(sentences[a:b]) * words[:, None])
-    return out
+        lettered = np.fromiter((len(_LETTERED.findall(s)) for s in sentences[a:b]), float, b - a)
+        p = model.probabilities(sentences[a:b])
+        np.add.at(soft, owner[a:b], p * words[:, None])
+        np.add.at(hard, (owner[a:b], np.argmax(p, axis=1)), lettered)
+    return soft, hard
+
+
+def language_shares(texts: list[str], model: Model) -> np.ndarray:
+    """Texts x languages: the words of each text by language, from the probabilities of its sentences."""
+    return _sentence_shares(texts, model)[0]
+
+
+def majorities(texts: list[str], soft: np.ndarray, hard: np.ndarray) -> np.ndarray:
+    """The language of more than half of each text's words, -1 where there is none or it can't be told."""
+    best, sure = np.argmax(hard, axis=1), np.argmax(soft, axis=1)
+    most = hard.max(axis=1, initial=0) > 0.5 * hard.sum(axis=1)
+    clear = soft.max(axis=1, initial=0) > CLEAR * np.maximum(soft.sum(axis=1), 1e-9)
+    running = np.fromiter((bool(RUNNING.search(t)) for t in texts), bool, len(texts))
+    return np.where(running, np.where(most, best, -1), np.where(clear, sure, -1))
 
 
 def languages(df: DataFrame, text: str, model: Model, by_paragraph: bool = False) -> DataFrame:
-    """``df`` without its text, with words, lang, confidence, and second, the language next to it.
+    """``df`` without its text, with words, lang, confidence, second, the language next to it, and mainly.
 
     ``lang`` has the most words; ``confidence`` is its share of them. A text without letters (null,
-    empty, numbers) gets a null language and confidence 0. With ``by_paragraph`` one row for each
+    empty, numbers) gets a null language and confidence 0. ``mainly`` has more than half of the words,
+    each sentence counted for its best language; null if none has. With ``by_paragraph`` one row for each
     paragraph, numbered by segment_no from 1.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in (text, "words", "lang", "confidence", "second", "segment_no")]
+    kept = [c for c in df.columns if c not in (text, "words", "lang", "confidence", "second", "mainly", "segment_no")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
@@ -269,7 +293,8 @@ def languages(df: DataFrame, text: str, model: Model, by_paragraph: bool = False
                     texts = [p for c in cut for p in c]
                 if not texts:
                     continue
-                shares = language_shares(texts, model)
+                shares, by_best = _sentence_shares(texts, model)
+                mainly = majorities(texts, shares, by_best)
                 total, order = shares.sum(axis=1), np.argsort(-shares, axis=1, kind="stable")
                 names = np.array(LANGUAGES, object)
                 lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
@@ -279,8 +304,9 @@ def languages(df: DataFrame, text: str, model: Model, by_paragraph: bool = False
                     lang=np.where(lettered, names[order[:, 0]], None),
                     confidence=np.where(lettered, np.round(best, 6), 0.0),
                     second=np.where(lettered, names[order[:, 1]], None),
+                    mainly=np.where(lettered & (mainly >= 0), names[mainly], None),
                 )
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    schema += ", segment_no int" * by_paragraph + ", words int, lang string, confidence double, second string"
+    schema += ", segment_no int" * by_paragraph + ", words int, lang string, confidence double, second string, mainly string"
     return df.select(*kept, text).mapInPandas(run, schema)

@@ -143,16 +143,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 BLOCK_WORDS = 8
-#: Share of a block's words that the other language must have; bare nouns in tables stay below it.
-BLOCK_CONFIDENCE = 0.75
 
 
 def language_model(spark: SparkSession, folder: str) -> langid.Model:
     return langid.train(table(spark, folder, "documents").select("document_id", "target_lang", "translations_json"))
 
 
-def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
-    """The language of every document, usage record and block of eight words or more, with its label.
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    """What p4_languages has, and for blocks ``mainly``, the language of more than half of their words.
 
     Texts are scored where they lie; what is shuffled afterwards are keys and codes. ``main_lang`` is
     the language of the document. A usage record takes it and its confidence over.
@@ -169,34 +167,42 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
     blocks = blocks.where(F.char_length("text") >= 2 * BLOCK_WORDS - 1)
     blocks = blocks.where(split.count_words(F.col("text"), split.WORD) >= BLOCK_WORDS)
     blocks = unique_rows(langid.languages(blocks, "text", model), "document_id", "record_id")
-    columns = ["record_kind", "document_id", "record_id", "label", "lang", "confidence", "main_lang"]
+    columns = ["record_kind", "document_id", "record_id", "label", "lang", "confidence", "main_lang", "mainly"]
     return (
         documents.select(
             F.lit("document").alias("record_kind"), "document_id", F.col("document_id").alias("record_id"), "label",
-            "lang", "confidence", F.col("lang").alias("main_lang"),
+            "lang", "confidence", F.col("lang").alias("main_lang"), F.lit(None).cast("string").alias("mainly"),
         )
         .unionByName(
             usage.join(main, "document_id").select(
                 F.lit("usage").alias("record_kind"), "document_id", F.col("usage_id").alias("record_id"), "label",
                 F.col("main_lang").alias("lang"), F.col("main_confidence").alias("confidence"), "main_lang",
+                F.lit(None).cast("string").alias("mainly"),
             )
         )
         .unionByName(
             blocks.join(main, "document_id").select(
                 F.lit("block").alias("record_kind"), "document_id", "record_id",
-                F.lit(None).cast("string").alias("label"), "lang", "confidence", "main_lang",
+                F.lit(None).cast("string").alias("label"), "lang", "confidence", "main_lang", "mainly",
             )
         )
         .select(*columns, langid.label_language(F.col("label")).alias("labelled"))
     )
 
 
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, usage record and block of eight words or more, with its label."""
+    return _languages(spark, folder).drop("mainly")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels that are missing, void or wrong, and blocks in another language than their document."""
-    rows = p4_languages(spark, folder).where("lang is not null")
-    block = (F.col("record_kind") == "block") & (F.col("lang") != F.col("main_lang")) & (F.col("confidence") > BLOCK_CONFIDENCE)
-    label = (F.col("record_kind") != "block") & ~F.col("labelled").eqNullSafe(F.col("lang"))
-    return rows.where(block | label).select("record_kind", "document_id", "record_id", "lang")
+    """Labels that are missing, void or wrong, and blocks mainly in another language than their document."""
+    rows = _languages(spark, folder).where("lang is not null")
+    is_block = F.col("record_kind") == "block"
+    block = is_block & (F.col("mainly") != F.col("main_lang"))
+    label = ~is_block & ~F.col("labelled").eqNullSafe(F.col("lang"))
+    lang = F.when(is_block, F.col("mainly")).otherwise(F.col("lang")).alias("lang")
+    return rows.where(block | label).select("record_kind", "document_id", "record_id", lang)
 
 
 def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +210,7 @@ def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "documents").select("document_id", "text")
     model = language_model(spark, folder)
     rows = langid.languages(texts, "text", model, by_paragraph=True)
-    return unique_rows(rows.drop("second"), "document_id", "segment_no")
+    return unique_rows(rows.drop("second", "mainly"), "document_id", "segment_no")
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,3 +55,19 @@ def test_very_long_text():
     shares = language_shares([text, "", "a"], model())
     assert LANGUAGES[int(np.argmax(shares[0]))] == "fr" and abs(shares[0].sum() - len(text.split())) < 300
     assert shares[1].sum() == 0
+
+
+def test_language_of_more_than_half_of_the_words(spark):
+    first = {k: t.split(". ")[0] + "." for k, t in TEXTS.items()}
+    rows = [
+        (1, f"{TEXTS['fr']} {first['de']}", "fr"),  # about two thirds
+        (2, f"{first['fr']} {TEXTS['de']}", "de"),
+        (3, f"{first['fr']} {first['de']} {first['en']}", None),  # a third each
+        (4, "mesa | 466\ncabo | 410\nporta | 41\nnota | 5", None),  # bare nouns of several languages
+        (5, None, None),
+        (6, "12 | 13\n14 | 15", None),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string, want string")
+    got = {r.id: r for r in languages(df, "text", model()).collect()}
+    assert all(got[i].mainly == want for i, _, want in rows)
+    assert got[1].confidence < 0.75 and got[2].confidence < 0.75
