@@ -37,6 +37,11 @@ COPY_SHARE = 0.78
 SHORT = 0.75
 NEARLY_WHOLE = 0.93
 OTHER_LANGUAGE_SHARE = 0.75
+#: Length ratios are counted in steps of this width, the last of which takes all above 20.
+RATIO_STEP = 0.005
+RATIO_STEPS = 4000
+#: Of fewer pairs of two languages in the whole table there is no usual length.
+LEAST_RATIOS = 5
 
 # Phrases of inability or refusal, folded, apostrophes straight.
 INABILITY = {
@@ -143,19 +148,35 @@ class Pairs:
         return length < SHORT and (not kept or bool(kept - _anchors(answer)))
 
 
-def usual_lengths(pairs: pd.DataFrame, model: Model) -> np.ndarray:
-    """Median length ratios from a bounded sample of (text, answer, target)."""
+def usual_lengths(pairs: DataFrame, model: Model) -> np.ndarray:
+    """Median length ratios by source and target language over all pairs(text, answer, target).
+
+    Each partition counts its pairs by languages and step of the ratio, so what is shuffled and
+    collected is bounded by the number of steps, whatever the number of pairs.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for batch in batches:
+            texts = list(batch["text"])
+            for a, b in groups(texts):
+                source = np.argmax(shared.value.probabilities(texts[a:b]), axis=1)
+                counts.update(zip(source.tolist(), batch["target"].iloc[a:b], batch["step"].iloc[a:b].tolist()))
+        rows = [(i, j, k, n) for (i, j, k), n in counts.items()]
+        yield pd.DataFrame(rows, columns=["source", "target", "step", "n"])
+
+    step = F.least(F.floor(F.length("answer") / F.length("text") / RATIO_STEP), F.lit(RATIO_STEPS)).cast("int")
+    rows = pairs.where(F.col("target").isin(*LANGUAGES) & (F.length("text") > 0) & F.col("answer").isNotNull())
+    rows = rows.select("text", "target", step.alias("step"))
+    counts = rows.mapInPandas(run, "source int, target string, step int, n long")
+    table = counts.groupBy("source", "target", "step").agg(F.sum("n").alias("n")).toPandas().sort_values("step")
     ratio = np.ones((len(LANGUAGES),) * 2)
-    if pairs.empty:
-        return ratio
-    source = np.argmax(model.probabilities(list(pairs["text"])), axis=1)
-    target = pairs["target"].map({c: i for i, c in enumerate(LANGUAGES)}).to_numpy()
-    r = pairs["answer"].str.len().to_numpy() / np.maximum(pairs["text"].str.len().to_numpy(), 1)
-    for i in range(len(LANGUAGES)):
-        for j in range(len(LANGUAGES)):
-            some = r[(source == i) & (target == j)]
-            if len(some) >= 5:
-                ratio[i, j] = np.median(some)
+    for (i, target), some in table.groupby(["source", "target"]):
+        total = some["n"].cumsum().to_numpy()
+        if total[-1] >= LEAST_RATIOS:
+            middle = some["step"].to_numpy()[np.searchsorted(total, total[-1] / 2)]
+            ratio[i, LANGUAGES.index(target)] = (middle + 0.5) * RATIO_STEP
     return ratio
 
 
@@ -177,10 +198,3 @@ def defects(df: DataFrame, text: str, answer: str, target: str, rules: Pairs) ->
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", defects array<string>"
     return df.select(*dict.fromkeys([*kept, text, answer, target])).mapInPandas(run, schema)
-
-
-def sample_pairs(pairs: DataFrame, key: str, most: int = 4000) -> pd.DataFrame:
-    """At most about ``most`` pairs, in order of a hash of their key, for the usual lengths."""
-    n = pairs.count()
-    place = F.pmod(F.xxhash64(*key.split(","), F.lit("length sample")), F.lit(1 << 30)) / float(1 << 30)
-    return pairs.where(place < min(1.0, most / max(n, 1))).toPandas()

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from test_langid import TEXTS, model
 
-from folioforge.llm.pairs import Pairs, defects
+from folioforge.llm.langid import LANGUAGES
+from folioforge.llm.pairs import Pairs, defects, usual_lengths
 
 EN = "On Monday Norbert bought 45 lamps for the library in Quarnheim. The dog waits under the table."
 DE = "Am Montag kaufte Norbert 45 Lampen für die Bibliothek in Quarnheim. Der Hund wartet unter dem Tisch."
@@ -53,3 +54,14 @@ def test_rows(spark, rules):
     got = {r.id: list(r.defects) for r in defects(df, "text", "answer", "target", rules).collect()}
     assert got[99] == [] and all(got[i][: max(1, len(w))] == w for i, (_, _, w) in enumerate(CASES))
     assert defects(df.where("false"), "text", "answer", "target", rules).count() == 0
+
+
+def test_usual_lengths_of_a_rare_direction_among_many(spark):
+    text = TEXTS["en"]
+    rows = [(text, "x" * round(len(text) * 0.9), "de")] * 12_000
+    rows += [(text, "x" * round(len(text) * r), "pt") for r in (1.1, 1.3, 1.3, 1.3, 1.3, 1.6)]
+    rows += [(text, "x", "fr")] * 4 + [(text, None, "pt"), ("", "x", "pt"), (text, "x", None)]
+    ratio = usual_lengths(spark.createDataFrame(rows, "text string, answer string, target string"), model())
+    en, de, pt, fr = (LANGUAGES.index(c) for c in ("en", "de", "pt", "fr"))
+    assert abs(ratio[en, de] - 0.9) < 0.01 and abs(ratio[en, pt] - 1.3) < 0.01 and ratio[en, fr] == 1.0
+    assert (usual_lengths(spark.createDataFrame([], "text string, answer string, target string"), model()) == 1).all()
