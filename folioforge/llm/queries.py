@@ -279,7 +279,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The band of each document of 50 words or more."""
-    return p8_levels(spark, folder).where((F.col("words") >= BAND_WORDS) & F.col("band").isNotNull()).select("doc_id", "band")
+    return p8_levels(spark, folder).where(F.col("words") >= BAND_WORDS).select("doc_id", "band")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

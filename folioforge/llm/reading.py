@@ -15,8 +15,9 @@ anything is shuffled.
 
 Texts are read and cut into words once; the rounds read the numbers of the words from a table in the
 shared folder. Words are hashed to ``ITEMS`` items, so the parameters take 5 MB whatever the corpus.
-Labels of at most ``LABELLED`` documents (those with the smallest hashes of their keys) are used;
-levels and words cover every document.
+Labels of about ``LABELLED`` documents a language at most (drawn by a hash of their keys) are used;
+levels and words cover every document. Where nothing is known of a document's words, as in a language
+without labels, it has the mean of the prior, level 2, and its words take part from the second round on.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from .langid import LANGUAGES, Model
 BITS = 17
 ITEMS = (1 << BITS) * len(LANGUAGES)
 LABELLED = 20_000
+PRIOR_LEVEL = 2.0
 ROUNDS = 3
 #: Levels at which occurrences are added up, and those among which a document's level is sought.
 GRID = np.linspace(1.0, 3.0, 5)
@@ -66,34 +68,35 @@ class Items:
         return np.where(n > 0, LEVELS[np.argmax(score, axis=1)], np.nan)
 
 
-def items_of(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(item, row) of every word; an item is a hashed word of the text's language."""
+def items_of(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, row) of every word; an item is a hashed word of the text's language. And the languages."""
     words = Words([folded(t) for t in texts])
     lang = np.argmax(model.probabilities(texts), axis=1)
     bucket = (words.hash >> np.uint64(64 - BITS)).astype(np.int64)
-    return bucket * len(LANGUAGES) + lang[words.row], words.row
+    return bucket * len(LANGUAGES) + lang[words.row], words.row, lang
 
 
 def item_table(documents: DataFrame, key: str, model: Model) -> DataFrame:
-    """(key, words, items) of each row of documents(key, text); a null text has no words."""
+    """(key, words, lang, items) of each row of documents(key, text); a null text has no words."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             for a, b in groups(texts):
-                item, row = items_of(texts[a:b], shared.value)
+                item, row, lang = items_of(texts[a:b], shared.value)
                 cut = np.searchsorted(row, np.arange(1, b - a))
                 yield pd.DataFrame(
                     {
                         key: batch[key].iloc[a:b],
                         "words": np.array([len(t.split()) for t in texts[a:b]], np.int32),
+                        "lang": lang.astype(np.int32),
                         "items": np.split(item.astype(np.int32), cut),
                     }
                 )
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInPandas(run, f"{key} {kind}, words int, items array<int>")
+    return documents.select(key, "text").mapInPandas(run, f"{key} {kind}, words int, lang int, items array<int>")
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +154,8 @@ def _spread(level: np.ndarray) -> np.ndarray:
 def occurrence_sums(rows: DataFrame, items: Items | None) -> np.ndarray:
     """Occurrences by item and grid level, over all rows(items, known_level).
 
-    Without ``items`` only rows with a known level count. A partition sends one row for each item
+    Without ``items`` only rows with a known level count; with them every row does, by the prior level
+    where none of its words is known. A partition sends one row for each item
     that occurs in it, however often.
     """
     shared = rows.sparkSession.sparkContext.broadcast(items)
@@ -164,6 +168,7 @@ def occurrence_sums(rows: DataFrame, items: Items | None) -> np.ndarray:
             item, row = _flat(batch.column("items"))
             if shared.value is not None:
                 level = np.where(np.isnan(level), shared.value.levels(item, row, len(level)), level)
+                level = np.nan_to_num(level, nan=PRIOR_LEVEL)
             share = np.where(np.isnan(level)[:, None], 0.0, _spread(np.nan_to_num(level, nan=2.0)))
             for g in range(len(GRID)):
                 weight = share[row, g]
@@ -189,10 +194,20 @@ def occurrence_sums(rows: DataFrame, items: Items | None) -> np.ndarray:
     return counts
 
 
-def fit(table: DataFrame, labels: DataFrame, key: str) -> tuple[Items, tuple[float, float]]:
-    """Items and the two cuts between the bands, from table(key, items) and labels(key, level)."""
+def drawn_labels(table: DataFrame, labels: DataFrame, key: str, most: int = LABELLED) -> DataFrame:
+    """(key, known_level) of about ``most`` labelled documents of each language of table(key, lang)."""
     some = labels.select(key, F.col("level").alias("known_level"))
-    some = F.broadcast(some.orderBy(F.xxhash64(key), key).limit(LABELLED))
+    some = table.select(key, "lang").dropDuplicates([key]).join(some, key)
+    share = F.lit(0.0)
+    for r in some.groupBy("lang").count().collect():
+        share = F.when(F.col("lang") == r["lang"], min(1.0, most / r["count"])).otherwise(share)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    return some.where(place < share).select(key, "known_level")
+
+
+def fit(table: DataFrame, labels: DataFrame, key: str) -> tuple[Items, tuple[float, float]]:
+    """Items and the two cuts between the bands, from table(key, lang, items) and labels(key, level)."""
+    some = F.broadcast(written(drawn_labels(table, labels, key), "reading-labels"))
     rows = table.join(some, key, "left")
     items = fit_items(occurrence_sums(table.join(some, key), None))
     for _ in range(ROUNDS - 1):
@@ -230,7 +245,7 @@ def with_levels(table: DataFrame, items: Items, kept: list[str]) -> DataFrame:
 
 
 def bands(documents: DataFrame, labels: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """(key, words, level, band) of each document; without a known word level and band are null.
+    """(key, words, level, band) of each document; without a word level and band are null.
 
     ``labels`` has (key, level), one row a document. Without any label the scale is that of the
     prior: every level is 2. Repeated keys count once in the result; in the sums they weigh as often as
@@ -238,7 +253,7 @@ def bands(documents: DataFrame, labels: DataFrame, model: Model, key: str = "doc
     """
     table = written(item_table(documents, key, model), "reading-items")
     items, (easy, hard) = fit(table, labels, key)
-    level = F.when(F.isnan("level"), None).otherwise(F.col("level"))
+    level = F.when(F.col("words") == 0, None).when(F.isnan("level"), PRIOR_LEVEL).otherwise(F.col("level"))
     band = F.when(level <= easy, 1).when(level <= hard, 2).when(level > hard, 3)
     rows = with_levels(table, items, [key, "words"]).dropDuplicates([key])
     return rows.select(key, "words", level.alias("level"), band.cast("int").alias("band"))

@@ -1,9 +1,9 @@
 import random
 
 import numpy as np
-from test_langid import model
+from test_langid import TEXTS, model
 
-from folioforge.llm.reading import ITEMS, bands, fit_items
+from folioforge.llm.reading import ITEMS, bands, drawn_labels, fit_items
 
 WORDS = {1: "cat dog sun run big red".split(), 2: "market ticket report manager".split(), 3: "jurisprudence epistemic notwithstanding".split()}
 
@@ -30,3 +30,22 @@ def test_slopes_follow_levels():
     items = fit_items(counts)
     assert items.slope[0] < -0.3 < 0.3 < items.slope[5] and abs(items.slope[10]) < 0.05
     assert not items.known[1]
+
+
+def test_language_without_labels_and_no_labels_at_all(spark):
+    rng = random.Random(6)
+    docs = [(i, text(i % 3 + 1, 80, rng)) for i in range(60)] + [(100 + i, TEXTS["pt"] * 3) for i in range(5)] + [(200, "- " * 60)]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, float(i % 3 + 1)) for i in range(60)], "doc_id long, level double")
+    got = {r.doc_id: r for r in bands(documents, labels, model()).collect()}
+    assert len(got) == 66 and all(r.band is not None for r in got.values())
+    assert all(got[100 + i].level == 2.0 for i in range(5)) and got[200].level == 2.0
+    none = bands(documents, labels.where("false"), model()).collect()
+    assert len(none) == 66 and all((r.level, r.band) == (2.0, 2) for r in none)
+
+
+def test_labels_are_drawn_by_language(spark):
+    table = spark.createDataFrame([(i, int(i >= 3000)) for i in range(3010)], "doc_id long, lang int")
+    labels = spark.createDataFrame([(i, 1.0) for i in range(3010)], "doc_id long, level double")
+    got = [r.doc_id for r in drawn_labels(table, labels, "doc_id", 100).collect()]
+    assert set(range(3000, 3010)) <= set(got) and 60 < len(got) < 160
