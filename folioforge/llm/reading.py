@@ -197,7 +197,7 @@ def occurrence_sums(rows: DataFrame, items: Items | None) -> np.ndarray:
 def drawn_labels(table: DataFrame, labels: DataFrame, key: str, most: int = LABELLED) -> DataFrame:
     """(key, known_level) of about ``most`` labelled documents of each language of table(key, lang)."""
     some = labels.select(key, F.col("level").alias("known_level"))
-    some = table.select(key, "lang").dropDuplicates([key]).join(some, key)
+    some = table.select(key, "lang").join(some, key)
     share = F.lit(0.0)
     for r in some.groupBy("lang").count().collect():
         share = F.when(F.col("lang") == r["lang"], min(1.0, most / r["count"])).otherwise(share)
@@ -248,12 +248,11 @@ def bands(documents: DataFrame, labels: DataFrame, model: Model, key: str = "doc
     """(key, words, level, band) of each document; without a word level and band are null.
 
     ``labels`` has (key, level), one row a document. Without any label the scale is that of the
-    prior: every level is 2. Repeated keys count once in the result; in the sums they weigh as often as
-    they stand, which spares a shuffle of all words.
+    prior: every level is 2. Repeated keys count once, in the sums of words too.
     """
-    table = written(item_table(documents, key, model), "reading-items")
+    table = written(item_table(documents, key, model).dropDuplicates([key]), "reading-items")
     items, (easy, hard) = fit(table, labels, key)
     level = F.when(F.col("words") == 0, None).when(F.isnan("level"), PRIOR_LEVEL).otherwise(F.col("level"))
     band = F.when(level <= easy, 1).when(level <= hard, 2).when(level > hard, 3)
-    rows = with_levels(table, items, [key, "words"]).dropDuplicates([key])
+    rows = with_levels(table, items, [key, "words"])
     return rows.select(key, "words", level.alias("level"), band.cast("int").alias("band"))

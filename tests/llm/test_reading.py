@@ -49,3 +49,12 @@ def test_labels_are_drawn_by_language(spark):
     labels = spark.createDataFrame([(i, 1.0) for i in range(3010)], "doc_id long, level double")
     got = [r.doc_id for r in drawn_labels(table, labels, "doc_id", 100).collect()]
     assert set(range(3000, 3010)) <= set(got) and 60 < len(got) < 160
+
+
+def test_repeated_rows_weigh_once(spark):
+    rng = random.Random(8)
+    docs = [(i, text(i % 3 + 1, 60, rng)) for i in range(90)]
+    labels = spark.createDataFrame([(i, float(i % 3 + 1)) for i in range(40)], "doc_id long, level double")
+    once, often = (spark.createDataFrame(d, "doc_id long, text string") for d in (docs, docs + [docs[50]] * 60 + [docs[3]] * 30))
+    a, b = ({r.doc_id: (r.words, r.level, r.band) for r in bands(d, labels, model()).collect()} for d in (once, often))
+    assert a == b and len(a) == 90
