@@ -1,7 +1,7 @@
 """Problem 1: items above a size limit, cut into pieces at natural boundaries.
 
 Recursive separators: a text is divided at section breaks; parts that are still too long at
-paragraph breaks, then at line ends, sentence ends, words and at last single characters. The atoms
+paragraph breaks, then at line ends, sentence ends, words and at last (with ``unit="chars"``) single characters. The atoms
 so found are packed greedily, in order, into pieces of at most the limit; every piece after the
 first begins with the last ``overlap`` units of the piece before it.
 
@@ -28,6 +28,8 @@ SEPARATORS = (
     ("line", re.compile(r"[\n\r]+")),
     ("sentence", re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])")),
 )
+#: Where units are characters, words are a level above them; where they are words, the units themselves.
+CHAR_SEPARATORS = (*SEPARATORS, ("word", re.compile(r"\s+")))
 _WORD = re.compile(WORD)
 _CHARS = re.compile(r"(?s).")
 
@@ -46,16 +48,18 @@ PIECES = T.ArrayType(
 )
 
 
-def _boundaries(text: str, starts: list[int], lo: int, hi: int, level: int, most: int) -> Iterator[tuple[int, str]]:
+def _boundaries(
+    text: str, starts: list[int], lo: int, hi: int, level: int, most: int, separators: tuple = SEPARATORS
+) -> Iterator[tuple[int, str]]:
     """Ends (as unit numbers) of the atoms of units[lo:hi], each of at most ``most`` units, with the
     level of the separator there. The last end, ``hi``, is left to the caller."""
     if hi - lo <= most:
         return
-    if level == len(SEPARATORS):
+    if level == len(separators):
         for at in range(lo + 1, hi):
             yield at, "unit"
         return
-    name, pattern = SEPARATORS[level]
+    name, pattern = separators[level]
     cuts, unit = [], lo
     end = starts[hi] if hi < len(starts) else len(text)
     for m in pattern.finditer(text, starts[lo], end):
@@ -65,7 +69,7 @@ def _boundaries(text: str, starts: list[int], lo: int, hi: int, level: int, most
             cuts.append(unit)
     at = lo
     for cut in [*cuts, hi]:
-        yield from _boundaries(text, starts, at, cut, level + 1, most)
+        yield from _boundaries(text, starts, at, cut, level + 1, most, separators)
         if cut < hi:
             yield cut, name
         at = cut
@@ -86,7 +90,8 @@ def split_text(text: str | None, limit: int, overlap: int = 0, unit: str = "word
     n = len(starts)
     if n <= limit:
         return [(1, 0, len(text), 0, n, "end", text)]
-    ends = [*_boundaries(text, starts, 0, n, 0, limit - overlap), (n, "end")]
+    separators = SEPARATORS if unit == "words" else CHAR_SEPARATORS
+    ends = [*_boundaries(text, starts, 0, n, 0, limit - overlap, separators), (n, "end")]
     out, fresh, back, at = [], 0, 0, 0
     while fresh < n:
         end, cut = fresh, ""

@@ -56,3 +56,13 @@ def test_rows(spark):
         (1, 1, "a b", 3), (1, 1, "a b", 3), (1, 2, "c d", 3), (1, 2, "c d", 3), (1, 3, "e", 3), (1, 3, "e", 3),
     ]
     assert split_oversized(df.where("false"), "text", F.lit(2), F.lit(1)).count() == 0
+
+
+def test_characters_are_cut_between_words_first():
+    from folioforge.llm.split import split_text
+
+    text = "alpha beta gamma delta epsilon " + "x" * 25
+    pieces = split_text(text, 12, 0, "chars")
+    assert [p[6] for p in pieces] == ["alpha beta ", "gamma delta ", "epsilon xxxx", "x" * 12, "x" * 9]
+    assert "".join(p[6] for p in pieces) == text
+    assert [p[5] for p in pieces[:2]] == ["word", "word"]
