@@ -4,11 +4,12 @@ Words are runs of letters and digits, compared without regard to case, punctuati
 invisible characters and accent encoding. Of each text the k-word hashes are formed and in every
 window of w consecutive hashes the smallest is kept. With k + w - 1 = ``least`` any shared run of
 ``least`` words shares a kept hash. Corpus and test fingerprints are joined, and each pair of texts
-that meets is extended word by word: shared runs of at least ``least`` words are reported.
+that meets is extended to its longest shared run; runs of at least ``least`` words are reported.
 
-The corpus is read as it lies: a fingerprint row is 20 bytes, and only those that occur in the test
-set are shuffled when the test fingerprints are small enough to broadcast, a size that is counted
-first. Beyond it the join is an ordinary shuffle join with hot fingerprints split by salt.
+Test sets of at most ``TEST_BYTES`` of text, a size that is counted first, are broadcast with their
+fingerprints: the corpus is read once, a text meets the fingerprints and is extended where it lies, and
+only results are shuffled. Beyond that fingerprints (20 bytes a row, hot ones split by salt) are joined
+by a shuffle, and of the corpus only the texts that met something are moved.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Words, folded, groups, mixed
+from ..session import written
+from .arrays import Words, folded, groups, span_hashes
 
-#: A fingerprint of the test side takes about 40 bytes in a broadcast: 40 MB at most.
-BROADCAST_FINGERPRINTS = 1_000_000
-BROADCAST_TEXT_BYTES = 32 << 20
+#: Text of test items that is broadcast, with at most 4 M words: some 100 MB of hashes at the very worst.
+TEST_BYTES = 8 << 20
+#: Keys of the corpus that are broadcast, as text, to leave out what met nothing.
+KEY_BYTES = 32 << 20
 SALTS = 32
-_STEP = np.uint64(0x100000001B3)
 
 
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -34,10 +36,8 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(k):
-        h = h * _STEP + hashes[i : i + n]
-    return mixed(h)
+    first = np.arange(n)
+    return span_hashes(hashes, first, first + k)
 
 
 def winnowed(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,53 +75,125 @@ def fingerprints(df: DataFrame, key: str, text: str, k: int, window: int) -> Dat
                 yield pd.DataFrame({key: keys[a:b][row], "fp": h.view(np.int64)}).drop_duplicates()
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{key} {kind}, fp bigint")
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"`{key}` {kind}, fp bigint")
 
 
-def shared_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
-    """Words in the longest run that two texts (as word hashes) share, 0 if below ``least``."""
-    x, y = run_hashes(a, least), run_hashes(b, least)
-    if not len(x) or not len(y):
-        return 0
-    at = np.flatnonzero(np.isin(x, y))
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values occur in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def shared_run(
+    a: np.ndarray, b: np.ndarray, least: int, a_runs: np.ndarray | None = None, b_runs: np.ndarray | None = None
+) -> int:
+    """Words in the longest run that two texts (as word hashes) share, 0 if below ``least``.
+
+    A shared run of some length implies shorter ones, so the length is found by halving, by the hashes
+    of all runs of a length at a time: repetitive texts take no longer than others. ``a_runs`` and the
+    ordered ``b_runs`` are the hashes of runs of ``least`` words, if they are known already.
+    """
+    x = run_hashes(a, least) if a_runs is None else a_runs
+    y = np.sort(run_hashes(b, least)) if b_runs is None else b_runs
+    at = np.flatnonzero(_among(x, y))
     if not len(at):
         return 0
-    places: dict[int, list[int]] = {}
-    for j, h in enumerate(y.tolist()):
-        places.setdefault(h, []).append(j)
-    best, ends = 0, {}
-    for i in at.tolist():
-        now = {}
-        for j in places[int(x[i])]:
-            if np.array_equal(a[i : i + least], b[j : j + least]):
-                now[j] = ends.get((i - 1, j - 1), least - 1) + 1
-                best = max(best, now[j])
-        ends = {(i, j): n for j, n in now.items()}
-    return best
+    # a shared run lies inside the words that neighbouring hits cover
+    gap = np.flatnonzero(np.diff(at) > 1)
+    covered = [a[i : j + least] for i, j in zip(at[[0, *(gap + 1)]], at[[*gap, len(at) - 1]])]
+    low, high = least, min(len(b), max(map(len, covered)))
+    while low < high:
+        middle = (low + high + 1) // 2
+        runs = np.sort(run_hashes(b, middle))
+        if any(_among(run_hashes(c, middle), runs).any() for c in covered if len(c) >= middle):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+class Index:
+    """Test items as word hashes, with their ordered fingerprints."""
+
+    def __init__(self, keys: list, texts: list[str], k: int, least: int):
+        self.keys = np.array(keys, object)
+        words = Words([folded(t) for t in texts])
+        bounds = words.bounds()
+        self.words = [words.hash[x:y] for x, y in zip(bounds, bounds[1:])]
+        self.runs = [np.sort(run_hashes(w, least)) for w in self.words]
+        item, _, h = winnowed(words, k, least - k + 1)
+        order = np.argsort(h, kind="stable")
+        self.fp, self.item = h[order], item[order]
+
+    def met(self, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Distinct (row, item) of the fingerprints h of rows."""
+        low, high = np.searchsorted(self.fp, h, "left"), np.searchsorted(self.fp, h, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.unique(np.stack([np.repeat(row, n), self.item[at]], axis=1), axis=0)
+
+
+def _schema(doc: str, item: str, corpus: DataFrame, tests: DataFrame) -> str:
+    return f"`{doc}` {corpus.schema[doc].dataType.simpleString()}, `{item}` {tests.schema[item].dataType.simpleString()}, shared_words int"
 
 
 def contained(
     corpus: DataFrame, tests: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text",
-    least: int = 20, k: int = 13,
+    least: int = 20, k: int = 13, test_bytes: int = TEST_BYTES,
 ) -> DataFrame:
     """(doc, item, shared_words) for each corpus text that shares a run of ``least`` words with an item.
 
     Null texts hold nothing. Rows repeated under one key count once. ``k`` is the length of a
-    fingerprint in words, at most ``least``.
+    fingerprint in words, at most ``least``. ``test_bytes`` bounds the test text that is broadcast; the
+    rows are the same either way.
     """
-    window = least - k + 1
-    corpus = corpus.select(doc, text)
+    corpus = corpus.select(doc, text).where(F.col(text).isNotNull())
     tests = tests.select(item, F.col(text).alias("__item_text")).where("__item_text is not null").dropDuplicates([item])
+    size = tests.agg(F.sum(F.octet_length("__item_text"))).first()[0] or 0
+    find = _met_in_place if size <= test_bytes else _met_by_shuffle
+    found = find(corpus, tests, doc, item, text, least, k)
+    return found.groupBy(doc, item).agg(F.max("shared_words").alias("shared_words"))
+
+
+def _met_in_place(corpus: DataFrame, tests: DataFrame, doc: str, item: str, text: str, least: int, k: int) -> DataFrame:
+    listed = tests.orderBy(item).toPandas()
+    index = Index(list(listed[item]), list(listed["__item_text"]), k, least)
+    shared = corpus.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value
+        for batch in batches:
+            texts = [folded(t) for t in batch[text]]
+            keys = batch[doc].to_numpy()
+            for a, b in groups(texts):
+                words = Words(texts[a:b])
+                row, _, h = winnowed(words, k, least - k + 1)
+                met = index.met(row, h)
+                if not len(met):
+                    continue
+                at, runs = words.bounds(), run_hashes(words.hash, least)
+                found = [
+                    shared_run(
+                        words.hash[at[r] : at[r + 1]], index.words[i], least, runs[at[r] : max(at[r], at[r + 1] - least + 1)], index.runs[i]
+                    )
+                    for r, i in met
+                ]
+                out = pd.DataFrame({doc: keys[a:b][met[:, 0]], item: index.keys[met[:, 1]], "shared_words": np.array(found, np.int32)})
+                yield out[out["shared_words"] > 0]
+
+    return corpus.mapInPandas(run, _schema(doc, item, corpus, tests))
+
+
+def _met_by_shuffle(corpus: DataFrame, tests: DataFrame, doc: str, item: str, text: str, least: int, k: int) -> DataFrame:
+    window = least - k + 1
     test_fp = fingerprints(tests, item, "__item_text", k, window).distinct()
-    n, size = tests.agg(F.sum(F.octet_length("__item_text"))).first()[0], test_fp.count()
-    corpus_fp = fingerprints(corpus, doc, text, k, window)
-    if size <= BROADCAST_FINGERPRINTS:
-        met = corpus_fp.join(F.broadcast(test_fp), "fp")
-    else:
-        salted = test_fp.withColumn("__salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-        met = corpus_fp.withColumn("__salt", F.pmod(F.hash(doc), F.lit(SALTS))).join(salted, ["fp", "__salt"])
-    met = met.select(doc, item).distinct()
-    tests = F.broadcast(tests) if (n or 0) <= BROADCAST_TEXT_BYTES else tests
+    salted = test_fp.withColumn("__salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+    corpus_fp = fingerprints(corpus, doc, text, k, window).withColumn("__salt", F.pmod(F.hash(doc), F.lit(SALTS)))
+    met = written(corpus_fp.join(salted, ["fp", "__salt"]).select(doc, item).distinct(), "leak-candidates")
+    keys = met.select(doc).distinct()
+    if (keys.agg(F.sum(F.octet_length(F.col(doc).cast("string")))).first()[0] or 0) <= KEY_BYTES:
+        corpus = corpus.join(F.broadcast(keys), doc, "left_semi")
     pairs = corpus.join(met, doc).join(tests, item)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +209,4 @@ def contained(
                 out = batch.iloc[a:b][[doc, item]].assign(shared_words=np.array(found, np.int32))
                 yield out[out["shared_words"] > 0]
 
-    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (doc, item)}
-    schema = f"{doc} {kinds[doc]}, {item} {kinds[item]}, shared_words int"
-    found = pairs.select(doc, item, text, "__item_text").mapInPandas(run, schema)
-    return found.groupBy(doc, item).agg(F.max("shared_words").alias("shared_words"))
+    return pairs.select(doc, item, text, "__item_text").mapInPandas(run, _schema(doc, item, corpus, tests))

@@ -48,10 +48,26 @@ def test_rows(spark):
     ]
     corpus = spark.createDataFrame(docs, "doc_id long, text string")
     tests = spark.createDataFrame([(7, item), (8, None), (9, "short"), (7, item)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id, r.shared_words) for r in contained(corpus, tests).collect()}
-    assert got == {(1, 7, 30), (3, 7, 20)}
-    assert contained(corpus.where("false"), tests).count() == 0
-    assert contained(corpus, tests.where("false")).count() == 0
+    for size in (1 << 20, 0):  # test texts broadcast, and joined by a shuffle
+        got = {(r.doc_id, r.item_id, r.shared_words) for r in contained(corpus, tests, test_bytes=size).collect()}
+        assert got == {(1, 7, 30), (3, 7, 20)}
+        assert contained(corpus.where("false"), tests, test_bytes=size).count() == 0
+        assert contained(corpus, tests.where("false"), test_bytes=size).count() == 0
+
+
+def test_no_text_is_shuffled(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    corpus = spark.createDataFrame([(1, item)], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")
+    found = contained(corpus, tests)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 7), (1, 8)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_repetitive_texts_take_no_longer():
+    a, b = np.zeros(200_000, np.uint64), np.zeros(20_000, np.uint64)
+    assert shared_run(a, b, 20) == 20_000
 
 
 def test_folding():
