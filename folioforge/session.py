@@ -45,20 +45,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder; lineage ends there, lost executors don't matter."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: columns can be pruned when it is read."""
+    """``df`` as a Parquet table in the shared folder: lineage ends there, lost executors don't matter, and
+    columns can be pruned when it is read. The table is removed by ``remove_written``, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` has made so far; for use between jobs, when no result of theirs is
+    still to be read. Gives their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        fs, at = _file_system(spark, _WRITTEN.pop())
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+    return n
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the session's Python workers, once a context.
 
