@@ -81,13 +81,8 @@ def _translation_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair with all its defects (an empty array for a sound pair)."""
-    model = language_model(spark, folder)
     rows = _translation_pairs(spark, folder)
-    lengths = rows.where("length(answer) > 10 and length(text) > 10").select(
-        "text", "answer", F.col("target_lang").alias("target")
-    )
-    rules = pairs.Pairs(model, pairs.usual_lengths(lengths, model))
-    return pairs.defects(rows, "text", "answer", "target_lang", rules)
+    return pairs.defects(rows, "text", "answer", "target_lang", language_model(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
