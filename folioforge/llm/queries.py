@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import shipped
@@ -37,12 +37,38 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
         records.append(unique_rows(rows, "document_id", "record_id").withColumn("record_kind", F.lit(kind)))
     rows = records[0].unionByName(records[1]).join(limits, "document_id").withColumn("overlap", spec.scalar())
     pieces = split.split_oversized(rows, "text", F.col("limit_words"), F.col("overlap"))
-    first, last = F.col("piece_no") == 1, F.col("piece_no") == F.col("piece_count")
+    starts, ends = F.col("starts_paragraph"), F.col("ends_paragraph")
     return pieces.select(
-        "record_kind", "document_id", "record_id", "limit_words", "piece_no", "piece_count",
+        "record_kind", "document_id", "record_id", "limit_words", "piece_no", "piece_count", "start", "end",
         F.col("units").alias("word_count"), F.col("overlap_units").alias("overlap_words"), "cut_at",
-        F.lit(True).alias("contains_partial_paragraph"), first.alias("starts_paragraph"),
-        (~first).alias("continues_paragraph"), last.alias("ends_paragraph"), "piece_text",
+        (~(starts & ends)).alias("contains_partial_paragraph"), starts.alias("starts_paragraph"),
+        (~starts).alias("continues_paragraph"), ends.alias("ends_paragraph"), "piece_text",
+    )
+
+
+def p1_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every oversized record put together again from its pieces, each without its overlap.
+
+    ``faults`` counts pieces above the limit, pieces that don't begin with the last words of the one before
+    and flags that contradict each other.
+    """
+    pieces = p1_pieces(spark, folder)
+    keys = ["record_kind", "document_id", "record_id"]
+    before = Window.partitionBy(*keys).orderBy("piece_no")
+    new = F.greatest(F.coalesce(F.lag("end").over(before), F.lit(0)) - F.col("start"), F.lit(0))
+    words, n = F.regexp_extract_all("piece_text", F.lit(split.WORD), F.lit(0)), F.col("overlap_words")
+    rows = pieces.withColumns({"new": F.substring("piece_text", new + 1, F.length("piece_text")), "ws": words})
+    rows = rows.withColumn("ws_before", F.lag("ws").over(before))
+    fault = (
+        (F.col("word_count") > F.col("limit_words")) | (F.size("ws") != F.col("word_count"))
+        | ((n > 0) & (F.slice("ws", F.lit(1), n) != F.slice("ws_before", F.greatest(F.size("ws_before") - n, F.lit(0)) + 1, n)))
+        | (F.col("starts_paragraph") == F.col("continues_paragraph"))
+        | (F.col("contains_partial_paragraph") == (F.col("starts_paragraph") & F.col("ends_paragraph")))
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "new"))), lambda p: p["new"]), "")
+    return rows.groupBy(*keys).agg(
+        F.sum(F.col("word_count") - F.col("overlap_words")).alias("words"),
+        F.sum(F.coalesce(fault, F.lit(False)).cast("int")).alias("faults"), F.md5(whole).alias("text_md5"),
     )
 
 
@@ -278,7 +304,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments, p5_found, p5_pairs,
-              p6_containers, p6_usage, p7_found, p7_leaks, p8_found,
-              p8_levels]
+    listed = [
+        p1_found, p1_pieces, p1_rebuilt, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments,
+        p5_found, p5_pairs, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_levels,
+    ]
     return {f.__name__: shipped(f) for f in listed}

@@ -12,6 +12,7 @@ the unit of work, so no key, source or bucket gathers in one task.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,8 @@ SEPARATORS = (
 )
 #: Where units are characters, words are a level above them; where they are words, the units themselves.
 CHAR_SEPARATORS = (*SEPARATORS, ("word", re.compile(r"\s+")))
+#: These separate paragraphs.
+_PARAGRAPH_BREAKS = [pattern for name, pattern in SEPARATORS if name in ("section", "paragraph")]
 _WORD = re.compile(WORD)
 _CHARS = re.compile(r"(?s).")
 
@@ -43,6 +46,8 @@ PIECES = T.ArrayType(
             T.StructField("units", T.IntegerType()),
             T.StructField("cut_at", T.StringType()),
             T.StructField("piece_text", T.StringType()),
+            T.StructField("starts_paragraph", T.BooleanType()),
+            T.StructField("ends_paragraph", T.BooleanType()),
         ]
     )
 )
@@ -76,11 +81,12 @@ def _boundaries(
 
 
 def split_text(text: str | None, limit: int, overlap: int = 0, unit: str = "words") -> list[tuple]:
-    """The pieces of one text as (number, start, end, overlap, units, cut_at, text).
+    """The pieces of one text as (number, start, end, overlap, units, cut_at, text, starts, ends).
 
     ``start`` and ``end`` are offsets in the text; the pieces without their overlaps, joined,
     give the text again, white space included. A text within the limit is one piece, null gives
-    none. ``overlap`` is held below the limit, so that every piece brings something new.
+    none. ``overlap`` is held below the limit, so that every piece brings something new. ``starts`` and
+    ``ends`` say whether the piece, its overlap included, begins and ends where a paragraph does.
     """
     if text is None:
         return []
@@ -89,7 +95,9 @@ def split_text(text: str | None, limit: int, overlap: int = 0, unit: str = "word
     starts = [m.start() for m in (_WORD if unit == "words" else _CHARS).finditer(text)]
     n = len(starts)
     if n <= limit:
-        return [(1, 0, len(text), 0, n, "end", text)]
+        return [(1, 0, len(text), 0, n, "end", text, True, True)]
+    after = sorted({0, len(text), *(m.end() for pattern in _PARAGRAPH_BREAKS for m in pattern.finditer(text))})
+    paragraphs = {bisect_left(starts, at) for at in after}
     separators = SEPARATORS if unit == "words" else CHAR_SEPARATORS
     ends = [*_boundaries(text, starts, 0, n, 0, limit - overlap, separators), (n, "end")]
     out, fresh, back, at = [], 0, 0, 0
@@ -101,7 +109,8 @@ def split_text(text: str | None, limit: int, overlap: int = 0, unit: str = "word
             at += 1
         begin = starts[fresh - back] if k or back else 0
         stop = starts[end] if end < n else len(text)
-        out.append((k + 1, begin, stop, back, end - fresh + back, cut, text[begin:stop]))
+        edges = fresh - back in paragraphs, end in paragraphs
+        out.append((k + 1, begin, stop, back, end - fresh + back, cut, text[begin:stop], *edges))
         fresh, back = end, min(overlap, end)
     return out
 
@@ -109,8 +118,8 @@ def split_text(text: str | None, limit: int, overlap: int = 0, unit: str = "word
 def split_oversized(df: DataFrame, text: str, limit: Column, overlap: Column, unit: str = "words") -> DataFrame:
     """The rows of ``df`` whose ``text`` has more units than ``limit``, one row for each piece.
 
-    Adds piece_no, piece_count, start, end, overlap_units, units, cut_at and piece_text; an own
-    column of such a name is replaced. Null and empty texts are within every limit and give no
+    Adds piece_no, piece_count, start, end, overlap_units, units, cut_at, piece_text, starts_paragraph and
+    ends_paragraph; an own column of such a name is replaced. Null and empty texts are within every limit and give no
     rows; a null limit holds nothing back either. Units are words (runs of characters that aren't
     white space) or, with ``unit="chars"``, characters.
     """

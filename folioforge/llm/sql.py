@@ -5,17 +5,19 @@ from __future__ import annotations
 from ..functions.words import WORD, count_words_sql
 
 
+_LIMITS = """
+    limits AS (SELECT document_id, min(coalesce(target_words_per_section, 600)) AS limit_words FROM documents GROUP BY document_id),
+    records AS (
+        SELECT DISTINCT 'block' AS record_kind, document_id, block_id AS record_id, text FROM blocks
+        UNION ALL
+        SELECT DISTINCT 'chunk', document_id, chunk_id, text FROM chunks)"""
+_OVERSIZED = f"records JOIN limits USING (document_id) WHERE {count_words_sql('text', WORD)} > limit_words"
+
+
 def oracle_sql() -> dict[str, str]:
-    records = f"""
-        WITH limits AS (
-            SELECT document_id, min(coalesce(target_words_per_section, 600)) AS limit_words
-            FROM documents GROUP BY document_id),
-        records AS (
-            SELECT DISTINCT 'block' AS record_kind, document_id, block_id AS record_id, text FROM blocks
-            UNION ALL
-            SELECT DISTINCT 'chunk', document_id, chunk_id, text FROM chunks)
-        SELECT DISTINCT record_kind, document_id, record_id
-        FROM records JOIN limits USING (document_id)
-        WHERE {count_words_sql("text", WORD)} > limit_words
-    """
-    return {"p1_found": records}
+    return {
+        "p1_found": f"WITH {_LIMITS} SELECT DISTINCT record_kind, document_id, record_id FROM {_OVERSIZED}",
+        "p1_rebuilt": f"""WITH {_LIMITS}
+            SELECT record_kind, document_id, record_id, {count_words_sql("text", WORD)}::BIGINT AS words, 0::BIGINT AS faults,
+                   md5(text) AS text_md5 FROM {_OVERSIZED}""",
+    }

@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,12 +32,40 @@ def test_pieces_fit_and_join(text, limit, overlap):
         for before, after in zip(pieces, pieces[1:]):
             assert after[3] == min(want, len(text[: before[2]].split()))
             assert before[6].split()[-after[3] :] == after[6].split()[: after[3]] or after[3] == 0
+    starts, ends = paragraph_edges(text)
+    for p in pieces if len(pieces) > 1 else []:
+        first, last = len(text[: p[1]].split()), len(text[: p[2]].split())
+        assert p[7] == (first in starts) and p[8] == (last in ends)
+
+
+def paragraph_edges(text):
+    """Numbers of the words that open a paragraph, and of words up to the end of one, by a plain way."""
+    at, starts, ends = 0, {0}, set()
+    for part in re.split(r"\n[ \t]*\n\s*|\f|\n(?=#{1,6} )", text):
+        starts.add(at)
+        at += len(part.split())
+        ends.add(at)
+    return starts, ends
+
+
+def test_no_word_is_cut_that_fits():
+    rng = random.Random(2)
+    for _ in range(200):
+        words = ["".join(rng.choice("abc.") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 30))]
+        text = rng.choice([" ", "\n", "  "]).join(words)
+        limit = rng.randint(14, 25)  # room for the longest word beside the overlap
+        for p in split_text(text, limit, rng.choice([0, 0, 3]), "chars"):
+            assert p[4] <= limit
+            if p[5] != "end":
+                assert text[p[2] - 1].isspace() or p[5] == "sentence"
 
 
 def test_natural_boundaries_first():
     text = "one two three. four five six.\n\nseven eight nine. ten"
     assert [p[5] for p in split_text(text, 6)] == ["paragraph", "end"]
     assert [p[6] for p in split_text("a b. c d e f", 4)] == ["a b. c d ", "e f"] or split_text("a b. c d e f", 4)[0][5] == "sentence"
+    assert [p[7:] for p in split_text(text, 6)] == [(True, True), (True, True)]
+    assert [p[7:] for p in split_text(text, 4)] == [(True, False), (False, True), (True, True)]
     assert [p[6] for p in split_text("abcdef", 2, 1, "chars")] == ["ab", "bc", "cd", "de", "ef"]
 
 
