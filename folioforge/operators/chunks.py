@@ -1,7 +1,7 @@
 """Manuscripts cut into chunks of whole paragraphs; only a paragraph above the limit is split.
 
 The split of a long paragraph is a loop over its sentence ends, which built-in functions can't say:
-long paragraphs, and no others, go through an Arrow-fed function. Packing is a fold in the JVM.
+long paragraphs, and no others, go through an Arrow-fed function. Packing looks at numbers only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.words import count_words
+from .sections import section_numbers
 
 DEFAULT_WORDS = 1500
 _WORD = re.compile(r"\S+")
@@ -96,22 +97,23 @@ def chunked(documents: DataFrame, text: str = "text", most: int = DEFAULT_WORDS)
     )
 
 
-def _packed(units: Column, most: int) -> Column:
+def chunk_numbers(sizes: np.ndarray, alone: np.ndarray, most: int) -> np.ndarray:
     """The chunk of each unit; the part of a split paragraph has a chunk to itself."""
-    zero = F.struct(
-        F.lit(0).alias("w"), F.lit(0).alias("chunk"), F.lit(True).alias("shut"), F.array().cast("array<int>").alias("out")
-    )
+    at = np.flatnonzero(alone)
+    edges = np.unique(np.concatenate([[0], at, at + 1, [len(sizes)]]))
+    out, last = np.empty(len(sizes), np.int32), 0
+    for a, b in zip(edges, edges[1:]):
+        out[a:b] = section_numbers(sizes[a:b], most) + last
+        last = out[b - 1]
+    return out
 
-    def step(acc: Column, u: Column) -> Column:
-        alone = u["part_count"] > 1
-        opens = acc["shut"] | alone | (acc["w"] + u["w"] > most)
-        chunk = acc["chunk"] + F.when(opens, 1).otherwise(0)
-        return F.struct(
-            (F.when(opens, F.lit(0)).otherwise(acc["w"]) + u["w"]).alias("w"), chunk.alias("chunk"),
-            alone.alias("shut"), F.array_append(acc["out"], chunk).alias("out"),
-        )
 
-    return F.aggregate(units, zero, step, lambda acc: acc["out"])
+def _packed(units: Column, most: int) -> Column:
+    @F.pandas_udf("array<int>")
+    def numbers(sizes: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([chunk_numbers(np.asarray(s), np.asarray(p) > 1, most) for s, p in zip(sizes, parts)])
+
+    return numbers(F.transform(units, lambda u: u["w"]), F.transform(units, lambda u: u["part_count"]))
 
 
 def section_chunks(sections: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -14,23 +17,36 @@ def clamped_target(target: Column) -> Column:
     return F.least(F.lit(MOST_TARGET), F.greatest(F.lit(LEAST_TARGET), F.coalesce(target, F.lit(DEFAULT_TARGET))))
 
 
-def packed(sizes: Column, target: Column) -> Column:
-    """The section number of each unit: a unit that would lead beyond the target opens the next one.
+def section_numbers(sizes: np.ndarray, target: int) -> np.ndarray:
+    """The section of each unit: a unit that would lead beyond the target opens the next one.
 
-    A fold over one document's array of numbers, within the JVM; texts never travel in it.
+    A section's end is looked up in the running sum of sizes, so a document takes as many steps as it has
+    sections. Units without words never open a section by themselves.
     """
-    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("section"), F.array().cast("array<int>").alias("out"))
+    so_far = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    out, at, section = np.empty(len(sizes), np.int32), 0, 0
+    while at < len(sizes):
+        stop = int(np.searchsorted(so_far, so_far[at] + target, side="right")) - 1
+        if so_far[stop] == so_far[at]:  # a first unit above the target has the section to itself
+            stop += 1
+        section += 1
+        out[at:stop] = section
+        at = stop
+    return out
 
-    def step(acc: Column, size: Column) -> Column:
-        opens = (acc["section"] == 0) | ((acc["words"] > 0) & (acc["words"] + size > target))
-        section = acc["section"] + F.when(opens, 1).otherwise(0)
-        return F.struct(
-            (F.when(opens, F.lit(0)).otherwise(acc["words"]) + size).alias("words"),
-            section.alias("section"),
-            F.array_append(acc["out"], section).alias("out"),
-        )
 
-    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _packed(sizes: pd.Series, targets: pd.Series) -> pd.Series:
+    return pd.Series([section_numbers(s, DEFAULT_TARGET if pd.isna(t) else int(t)) for s, t in zip(sizes, targets)])
+
+
+def packed(sizes: Column, target: Column) -> Column:
+    """The section numbers of the units of an array; a null target is the usual one.
+
+    Only numbers go to Python, a document at a time: appending to an array within a fold in the JVM copies
+    it at every step, which is quadratic in the units of a document.
+    """
+    return _packed(sizes, target)
 
 
 def sectioned(paragraphs: DataFrame, targets: DataFrame) -> DataFrame:

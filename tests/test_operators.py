@@ -2,7 +2,9 @@
 
 import json
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
@@ -69,6 +71,36 @@ def test_packing(spark):
     assert all(got[i].n == (max(packed([s for s in c if s], 100), default=0)) for i, c in enumerate(cases))
 
 
+def test_packing_takes_time_in_proportion(spark):
+    """Documents of 50,000 and 200,000 blocks; a fold that copies its array takes sixteen times as long."""
+
+    def seconds(n):
+        rows = spark.range(n).select(F.lit("d").alias("document_id"), (F.col("id") + 1).cast("int").alias("n"), F.lit(40).alias("words"))
+        targets = spark.createDataFrame([("d", 600)], "document_id string, target int")
+        began = time.perf_counter()
+        assert sections.sectioned(rows, targets).agg(F.max("section")).first()[0] == -(-n // 15)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 8 * seconds(50_000) + 2
+    began = time.perf_counter()
+    assert chunks.chunk_numbers(np.full(400_000, 3), np.arange(400_000) % 50 == 7, 30).max() > 40_000
+    assert time.perf_counter() - began < 5
+
+
+def test_chunk_numbers():
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 25))]
+        alone = [rng.random() < 0.2 for _ in sizes]
+        want, words, shut = [], 0, True
+        for size, single in zip(sizes, alone):
+            opens = shut or single or words + size > 60
+            want.append((want[-1] if want else 0) + opens)
+            words, shut = (0 if opens else words) + size, single
+        assert chunks.chunk_numbers(np.array(sizes), np.array(alone), 60).tolist() == want
+
+
 def test_section_progress(spark):
     """Three sections of a block each: locked beyond the next, last one to be done again."""
     secs = spark.createDataFrame([("d", i, [f"b{i}"], 80) for i in (1, 2, 3)], "document_id string, section_index int, block_ids array<string>, word_count int")
