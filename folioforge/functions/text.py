@@ -95,16 +95,31 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda p: p != "")
 
 
+def casefold(text: Column) -> Column:
+    """Python's str.casefold: upper case brings ß and ligatures apart, lower case meets in one sigma; the
+    dotless i, which has no other case of its own, stays as it is. (The optimizer takes lower(upper(x)) for
+    lower(x); a translation in between prevents that.)"""
+    up = F.translate(F.upper(F.translate(F.lower(text), "ı", "\ue000")), "ς", "σ")
+    return F.translate(F.lower(up), "ς\ue000", "σı")
+
+
+def casefold_sql(text: str) -> str:
+    out = f"lower({text})"
+    for form, folded in (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl")):
+        out = f"replace({out}, '{form}', '{folded}')"
+    return out
+
+
 def term_key(term: Column) -> Column:
-    """The form in which glossary terms are compared (lower case stands for case folding)."""
+    """The form in which glossary terms are compared."""
     plain = F.replace(F.replace(term, F.lit("\u00ad"), F.lit("")), F.lit("\u00a0"), F.lit(" "))
-    return F.btrim(F.lower(sub(strip(plain), f"{_SPACE}+", " ")), F.lit(TERM_EDGES))
+    return F.btrim(casefold(sub(strip(plain), f"{_SPACE}+", " ")), F.lit(TERM_EDGES))
 
 
 def term_key_sql(term: str) -> str:
     plain = f"replace(replace({term}, chr(173), ''), chr(160), ' ')"
     edges = TERM_EDGES.replace("'", "''")
-    lines = f"lower({sub_sql(strip_sql(plain), f'{_SPACE}+', ' ')})"
+    lines = casefold_sql(sub_sql(strip_sql(plain), f"{_SPACE}+", " "))
     return f"trim({lines}, '{edges}')"
 
 

@@ -1,4 +1,6 @@
-"""What a translator is asked: a brief, the context, the glossary and the blocks of a chunk."""
+"""What is asked of a model: translations, glossaries, reviews and revisions of a chunk.
+
+A request has a brief by language, form and kind of the document, the context, the terms, and the blocks."""
 
 from __future__ import annotations
 
@@ -32,7 +34,7 @@ def with_advice(rows: DataFrame, advice: DataFrame, form: str = "content_form")
 
 
 def block_item() -> Column:
-    """A block as a translator sees it: tables with rows, shape and role, others with their text."""
+    """A block as a model sees it: tables with rows, shape and role, others with their text."""
     rows = tables.rows_of(F.col("text"))
     is_table = F.col("block_type") == "table"
     return F.struct(
@@ -51,18 +53,75 @@ def compact_entry() -> Column:
     return F.struct("source_terms", "target_terms", "preferred_target", "category", "priority", "reason")
 
 
+#: Advice by the kind of the document, and what a review looks at besides. Data that callers may replace.
+KINDS = {
+    "general": "No special rules apply.",
+    "fiction": "Dialogue must sound spoken.",
+    "legal": "Terms of law keep their usual counterparts.",
+    "scientific": "Units, symbols and citations stay as they are.",
+}
+REVIEW = "Name untranslated parts, changes of meaning, broken names and numbers, and terms that differ from the list."
+
+
+def brief(source: Column, target: Column, form: Column, kind: Column, advice: Column, kind_advice: Column) -> Column:
+    """The lines that open a request: languages, form and kind with their advice."""
+    lines = [
+        ("Source language", source, "English"), ("Target language", target, "the target language"),
+        ("Content form", form, "general"), ("Document type", kind, "general"),
+    ]
+    shown = [F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit(default))) for name, value, default in lines]
+    return F.concat_ws("\n", *shown, advice, kind_advice)
+
+
+def _part(title: str, body: Column) -> Column:
+    return F.when(body.isNotNull() & ~body.isin("[]", ""), F.concat(F.lit(f"\n\n{title}\n"), body)).otherwise("")
+
+
+def rules(items: Column) -> Column:
+    """What holds besides, where a chunk has data tables, layout tables or inline tokens."""
+    has_data = items.contains('"block_type":"table"')
+    layout = items.contains('"is_layout_table":true')
+    return F.concat(
+        F.when(has_data & ~layout, " Give tables as table_rows of the same shape.").otherwise(""),
+        F.when(layout, " Give lists of contents as text, without table_rows.").otherwise(""),
+        F.when(items.contains("[[INLINE_"), " Keep every inline token once.").otherwise(""),
+    )
+
+
 def prompt(target: Column, advice: Column, context: Column, entries: Column, items: Column) -> Column:
     """The text of a request. ``context``, ``entries`` and ``items`` are JSON or null for none."""
+    return F.concat(
+        F.lit("Translate the blocks below into "), F.coalesce(target, F.lit("the target language")), F.lit(". "), advice,
+        F.lit(" Answer with JSON: block_translations, an array of block_id and translated_text."), rules(items),
+        _part("Before:", context), _part("Terms:", entries), _part("Blocks:", items),
+    )
 
-    def part(title: str, body: Column) -> Column:
-        return F.when(body.isNotNull() & ~body.isin("[]", ""), F.concat(F.lit(f"\n\n{title}\n"), body)).otherwise("")
 
-    has_tokens = items.contains("[[INLINE_")
-    has_tables = items.contains('"block_type":"table"')
+def glossary_prompt(target: Column, text: Column, translated: Column, entries: Column) -> Column:
+    """Asks for the terms of a chunk that must stay the same throughout."""
     return F.concat(
-        F.lit("Translate the blocks below into "), F.coalesce(target, F.lit("the target language")), F.lit(". "), advice,
-        F.lit(" Answer with JSON: block_translations, an array of block_id and translated_text."),
-        F.when(has_tables, " Give tables as table_rows of the same shape.").otherwise(""),
-        F.when(has_tokens, " Keep every inline token once.").otherwise(""),
-        part("Before:", context), part("Terms:", entries), part("Blocks:", items),
+        F.lit("List the names and terms of this text that must be the same throughout its translation into "),
+        F.coalesce(target, F.lit("the target language")),
+        F.lit(". Answer with JSON: glossary, an array of source_terms, target_terms, preferred_target, category, priority and reason."),
+        _part("Known terms:", entries), _part("Text:", text), _part("Translation:", translated),
+    )
+
+
+def review_prompt(target: Column, checklist: Column, text: Column, translated: Column) -> Column:
+    """Asks what is wrong with a translation."""
+    return F.concat(
+        F.lit("Review this translation into "), F.coalesce(target, F.lit("the target language")), F.lit(". "),
+        F.coalesce(checklist, F.lit(REVIEW)), _part("Text:", text), _part("Translation:", translated),
+    )
+
+
+def revision_prompt(
+    target: Column, advice: Column, feedback: Column, context: Column, entries: Column, items: Column, first: Column
+) -> Column:
+    """Asks for a second pass over a chunk: only what the feedback and the source support is to change."""
+    return F.concat(
+        F.lit("Revise this translation into "), F.coalesce(target, F.lit("the target language")), F.lit(". "), advice,
+        F.lit(" Change only what the remarks and the source support. Answer in the form of the first translation."), rules(items),
+        _part("Remarks:", feedback), _part("Before:", context), _part("Terms:", entries), _part("Blocks:", items),
+        _part("First translation:", first),
     )

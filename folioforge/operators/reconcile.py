@@ -176,17 +176,17 @@ def reconcile(output: str | None, expected: list[dict], earlier: dict[str, Any]
     return {"translated_text": rendered or plain.strip(), "block_translations": out, "notes": notes}
 
 
-RECONCILED = (
-    "translated_text string, block_translations array<struct<block_id string, paragraph_id string, "
-    "translated_text string, table_rows array<array<string>>, origin string>>, notes array<string>"
+BLOCKS = (
+    "array<struct<block_id string, paragraph_id string, translated_text string, table_rows array<array<string>>, origin string>>"
 )
+RECONCILED = f"translated_text string, block_translations {BLOCKS}, notes array<string>"
 
 
-def reconciled(chunks: DataFrame) -> DataFrame:
+def reconciled(chunks: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """chunks(document_id, chunk_id, output, expected_json, earlier_json) with the columns of ``reconcile``.
 
     ``expected_json`` is an array of blocks, ``earlier_json`` an object from block id to translation;
-    nulls stand for none of them, a null output for an empty one.
+    nulls stand for none of them, a null output for an empty one. Columns named in ``kept`` stay.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,9 +196,9 @@ def reconciled(chunks: DataFrame) -> DataFrame:
                 for o, e, p in zip(batch["output"], batch["expected_json"], batch["earlier_json"])
             ]
             columns = ["translated_text", "block_translations", "notes"]
-            yield pd.concat(
-                [batch[["document_id", "chunk_id"]].reset_index(drop=True), pd.DataFrame(found, columns=columns)], axis=1
-            )
+            keys = batch[["document_id", "chunk_id", *kept]].reset_index(drop=True)
+            yield pd.concat([keys, pd.DataFrame(found, columns=columns)], axis=1)
 
-    rows = chunks.select("document_id", "chunk_id", "output", "expected_json", "earlier_json")
-    return rows.mapInPandas(run, "document_id string, chunk_id string, " + RECONCILED)
+    rows = chunks.select("document_id", "chunk_id", "output", "expected_json", "earlier_json", *kept)
+    stay = "".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.mapInPandas(run, "document_id string, chunk_id string, " + stay + RECONCILED)

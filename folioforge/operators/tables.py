@@ -26,6 +26,14 @@ def numeric_ratio(rows: Column) -> Column:
     return F.when(F.size(cells) > 0, some / F.size(cells)).otherwise(F.lit(0.0))
 
 
+# The signals that tell a list of contents from data, with their weights.
+ROLE_WEIGHTS = {
+    "toc_field": 7, "toc_paragraph_style": 6, "toc_hyperlinks": 3, "toc_title_hint": 3, "near_document_start": 2,
+    "compact_layout_table": 2, "page_reference_entries": 3, "dense_page_reference_entries": 2, "semicolon_separated_entries": 2,
+    "dense_page_reference_cells": 2, "numeric_data_grid": -4, "regular_data_grid_shape": -3,
+}
+
+
 def role(rows: Column, position: Column, fields: Column, styles: Column, links: Column) -> dict[str, Column]:
     """Whether a table is a list of contents: score, signals, role and confidence.
 
@@ -37,21 +45,21 @@ def role(rows: Column, position: Column, fields: Column, styles: Column, links:
     height, width = F.size(rows), F.coalesce(F.array_max(shape(rows)), F.lit(0))
     dense = F.exists(F.flatten(rows), lambda c: X.page_references(c) >= 3)
     title = X.has_contents_title(F.coalesce(F.get(F.get(rows, 0), 0), F.lit(""))) | X.has_contents_title(flat)
-    # The signals with their weights.
-    weighed = [
-        ("toc_field", 7, fields > 0),
-        ("toc_paragraph_style", 6, styles > 0),
-        ("toc_hyperlinks", 3, links >= 3),
-        ("toc_title_hint", 3, title),
-        ("near_document_start", 2, position <= 10),
-        ("compact_layout_table", 2, (height <= 4) & (width <= 3)),
-        ("page_reference_entries", 3, references >= 3),
-        ("dense_page_reference_entries", 2, references >= 8),
-        ("semicolon_separated_entries", 2, F.regexp_count(flat, F.lit("[;；؛]")) >= 3),
-        ("dense_page_reference_cells", 2, dense),
-        ("numeric_data_grid", -4, (numbers >= 0.6) & (references < 3)),
-        ("regular_data_grid_shape", -3, (height >= 5) & (width >= 3) & (references < 3)),
-    ]
+    holds = {
+        "toc_field": fields > 0,
+        "toc_paragraph_style": styles > 0,
+        "toc_hyperlinks": links >= 3,
+        "toc_title_hint": title,
+        "near_document_start": position <= 10,
+        "compact_layout_table": (height <= 4) & (width <= 3),
+        "page_reference_entries": references >= 3,
+        "dense_page_reference_entries": references >= 8,
+        "semicolon_separated_entries": F.regexp_count(flat, F.lit("[;；؛]")) >= 3,
+        "dense_page_reference_cells": dense,
+        "numeric_data_grid": (numbers >= 0.6) & (references < 3),
+        "regular_data_grid_shape": (height >= 5) & (width >= 3) & (references < 3),
+    }
+    weighed = [(name, weight, holds[name]) for name, weight in ROLE_WEIGHTS.items()]
     score = F.lit(0)
     for _, weight, holds in weighed:
         score = score + F.when(holds, weight).otherwise(0)

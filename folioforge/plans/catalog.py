@@ -379,7 +379,7 @@ def unused_translations(spark: SparkSession, folder: str) -> DataFrame:
     SELECT document_id, block_id, {X.strip_sql("raw_text")}, 0 FROM e
     WHERE NOT EXISTS (SELECT 1 FROM p WHERE e.document_id = p.document_id AND e.block_id = p.block_id)""")
 def updated_translations(spark: SparkSession, folder: str) -> DataFrame:
-    """Translations after a second pass by the deterministic translator over known and first blocks."""
+    """Translations after a second pass by the deterministic answerer over known and first blocks."""
     old = _entries(spark, folder).select("document_id", "block_id", "translated_text", F.lit(0).alias("version"))
     targets = unique_rows(table(spark, folder, "documents").select("document_id", "target_lang"), "document_id")
     rows = _paragraphs(spark, folder).join(targets, "document_id")
@@ -390,7 +390,7 @@ def updated_translations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _echo(lang: Column, text: Column) -> Column:
-    """The deterministic stand-in for a translator."""
+    """The deterministic stand-in for a model."""
     return F.coalesce(F.concat(F.lit("["), lang, F.lit("] "), text), text)
 
 
@@ -574,7 +574,7 @@ def glossary_merged(spark: SparkSession, folder: str) -> DataFrame:
 
 @add()
 def reconciled_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """The deterministic translator's answers to the stored chunks, against the blocks asked for.
+    """The deterministic answerer's answers to the stored chunks, against the blocks asked for.
 
     Every fifth chunk's answer is no JSON, as models will have it.
     """

@@ -136,7 +136,7 @@ _ECHO_SQL = f"""CASE WHEN block_type = 'table'
     JOIN p ON p.document_id = s.document_id AND p.n = s.n JOIN l ON l.document_id = p.document_id
     WHERE status.section = cursor + 1 AND status = 'not_translated'""")
 def translated_next(spark: SparkSession, folder: str) -> DataFrame:
-    """One step for every document: its next section goes to the deterministic translator."""
+    """One step for every document: its next section goes to the deterministic answerer."""
     out = translate.step(
         catalog._paragraphs(spark, folder), catalog._entries(spark, folder), catalog._targets(spark, folder), _languages(spark, folder)
     )

@@ -19,6 +19,7 @@ from typing import Any
 from xml.etree import ElementTree as ET
 
 from ..functions.text import CONTENTS_TITLES, LOWERED, PLAIN, RAISED
+from ..operators.tables import ROLE_WEIGHTS
 
 # The namespaces of the format.
 NS = {
@@ -435,22 +436,21 @@ def table_role(table: ET.Element, rows: list[list[str]], blocks_before: int) ->
     links = sum((value(h, "w:anchor") or "").casefold().startswith("_toc") for h in table.iter(q("hyperlink")))
     height, width = len(rows), max(map(len, rows), default=0)
     first = rows[0][0] if rows and rows[0] else ""
-    # The signals with their weights.
-    signals = [
-        ("toc_field", 7, fields > 0),
-        ("toc_paragraph_style", 6, styles > 0),
-        ("toc_hyperlinks", 3, links >= 3),
-        ("toc_title_hint", 3, contents_title(first) or contents_title(flat)),
-        ("near_document_start", 2, blocks_before <= 10),
-        ("compact_layout_table", 2, height <= 4 and width <= 3),
-        ("page_reference_entries", 3, references >= 3),
-        ("dense_page_reference_entries", 2, references >= 8),
-        ("semicolon_separated_entries", 2, len(re.findall("[;；؛]", flat)) >= 3),
-        ("dense_page_reference_cells", 2, any(page_references(c) >= 3 for c in cells)),
-        ("numeric_data_grid", -4, ratio >= 0.6 and references < 3),
-        ("regular_data_grid_shape", -3, height >= 5 and width >= 3 and references < 3),
-    ]
-    held = [(name, weight) for name, weight, holds in signals if holds]
+    signals = {
+        "toc_field": fields > 0,
+        "toc_paragraph_style": styles > 0,
+        "toc_hyperlinks": links >= 3,
+        "toc_title_hint": contents_title(first) or contents_title(flat),
+        "near_document_start": blocks_before <= 10,
+        "compact_layout_table": height <= 4 and width <= 3,
+        "page_reference_entries": references >= 3,
+        "dense_page_reference_entries": references >= 8,
+        "semicolon_separated_entries": len(re.findall("[;；؛]", flat)) >= 3,
+        "dense_page_reference_cells": any(page_references(c) >= 3 for c in cells),
+        "numeric_data_grid": ratio >= 0.6 and references < 3,
+        "regular_data_grid_shape": height >= 5 and width >= 3 and references < 3,
+    }
+    held = [(name, weight) for name, weight in ROLE_WEIGHTS.items() if signals[name]]
     score = sum(weight for _, weight in held)
     if fields or styles or score >= 10:
         role, confidence = "toc_layout", "high"

@@ -236,9 +236,15 @@ def test_activity(spark):
 def test_checks(spark):
     from folioforge.functions import checks
 
-    messages = {"Request timed out": True, "503 unavailable": True, "429: quota exceeded": False, "bad": False, None: False}
+    messages = {"Request timed out": True, "503 unavailable": True, "429: quota exceeded": False, "bad": False, None: False,
+                "503 upstream: 401 authentication": False, "getaddrinfo failed": True, "Please try again": True, "overloaded": False,
+                "model not found, try again": False}
     df = spark.createDataFrame([(k, v) for k, v in messages.items()], "m string, want boolean")
     assert df.where(checks.retryable(F.col("m")) != F.col("want")).count() == 0
+    assert df.where(checks.retryable(F.lit("temporarily gone, not found"), checks.BATCH)).count() == 0
+    assert checks.passes(TimeoutError()) and checks.passes(ValueError("Server disconnected")) and not checks.passes(ValueError("503 Not found"))
+    assert not checks.passes(ValueError("Server disconnected"), checks.SERVICE)
+    assert one(spark, checks.same_language(F.lit(" STRASSE"), F.lit("Straße ")))
     assert one(spark, checks.short_message(F.col("t"), 8), t="a  b\nc def g") == "a b c..."
     assert one(spark, checks.json_or(F.col("t"), "array<int>", F.array(F.lit(7))), t="[1]") == [1]
     assert one(spark, checks.json_or(F.col("t"), "array<int>", F.array(F.lit(7))), t=" ") == [7]
@@ -252,7 +258,7 @@ def test_translation_in_order(spark):
         "document_id string, chunk_id string, chunk_index int, target_language string, expected_json string, text string",
     )
 
-    def translator(request):
+    def answerer(request):
         block = request["blocks"][0]
         if block["block_id"] == "b3":
             raise RuntimeError("down")
@@ -260,6 +266,128 @@ def test_translation_in_order(spark):
         return json.dumps({"block_translations": [{"block_id": block["block_id"], "translated_text": f"{block['source_text']} ({before})"}],
                            "glossary": [{"source_terms": [block["source_text"]], "target_terms": ["x"]}]})
 
-    rows = translate.in_order(seen, translator, context=1).orderBy("chunk_index").collect()
+    rows = translate.in_order(seen, answerer, context=1).orderBy("chunk_index").collect()
     assert [r.translated_text for r in rows] == ["text 0 ()", "text 1 (text 0 ())", "text 2 (text 1 (text 0 ()))", "text 3", "text 4 (text 3)"]
     assert [r.glossary_size for r in rows] == [0, 1, 2, 3, 3]
+
+
+def test_case_folding(spark):
+    texts = ["Straße", "STRASSE", "ẞ", "ΟΔΟΣ οδος", "ﬁ ﬂ ſ", "İ ı I", "µ K Å", "ŉ ǰ", "Ǆ ǅ ǆ", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in df.select(X.casefold(F.col("t")).alias("x")).collect()] == [t and t.casefold() if t is not None else None for t in texts]
+    assert one(spark, X.term_key(F.lit("Große STRASSE."))) == glossary._key("grosse straße")
+
+
+def test_glossary_of_a_model_as_it_comes():
+    raw = [{"source_terms": "harbour", "target_terms": ["Hafen"], "priority": "urgent"}, {"source_term": " Harbour ", "target_term": "Port", "priority": "HIGH"},
+           {"source_terms": [1, "  ", "quay"], "target_terms": ["Kai", "KAI"], "preferred_target": "Mole", "category": None}, {"source_terms": ["x"]}, "no", None,
+           {"source_terms": ["y"], "target_terms": "!!"}]
+    clean = [glossary.clean_entry(e, "c1", i) for i, e in enumerate(raw)]
+    assert [c and (c["source_terms"], c["target_terms"], c["preferred_target"], c["priority"], c["category"]) for c in clean] == [
+        (["harbour"], ["Hafen"], "Hafen", "medium", "other"), (["Harbour"], ["Port"], "Port", "high", "other"),
+        (["quay"], ["Mole", "Kai"], "Mole", "medium", "other"), None, None, None, None,
+    ]
+    merged = glossary.merge_entries([c for c in clean if c])
+    assert [(m["entry_id"], m["source_terms"], m["target_terms"], m["priority"], m["usage_count"]) for m in merged] == [
+        ("g0001", ["harbour"], ["Hafen", "Port"], "high", 2), ("g0002", ["quay"], ["Mole", "Kai"], "medium", 1),
+    ]
+
+
+def test_terms_for_a_text_are_those_that_stand_in_it(spark):
+    rng = random.Random(7)
+    words = ["ab", "Ab", "a-b", "b", "(b)", "c++", "+", "é", "ß", "x_y", "_y", "İz"]
+    entries = [glossary.clean_entry({"source_terms": [" ".join(rng.choices(words, k=rng.randint(1, 2))) + f" {i}" * (i % 3 == 0)], "target_terms": ["t"], "priority": "high" if i == 5 else "low"}, "c", i) for i in range(40)]
+    terms = glossary.Glossary(e for e in entries if e)
+    texts = [rng.choice([" ", "\n", ", "]).join(rng.choices(words, k=12)) + " 3 6" for _ in range(20)] + ["", "+"]
+    rows = [("d", e["entry_id"], e["priority"], e["source_terms"]) for e in terms.entries]
+    df = spark.createDataFrame(rows, "document_id string, entry_id string, priority string, source_terms array<string>")
+    chunks_df = spark.createDataFrame([("d", str(i), t) for i, t in enumerate(texts)] + [("d", "none", None), ("e", "0", "ab")], "document_id string, chunk_id string, text string")
+    got = {(r.chunk_id, r.entry_id) for r in glossary.relevant(df, chunks_df).collect()}
+    plain = {(str(i), e["entry_id"]) for i, t in enumerate(texts) for e in terms.entries if e["priority"] == "high" or any(glossary._stands_in(x, glossary._plain(t)) for x in e["source_terms"])}
+    assert {g for g in got if g[0] != "none"} == plain and ("none", next(e["entry_id"] for e in terms.entries if e["priority"] == "high")) in got
+    assert {(str(i), e["entry_id"]) for i, t in enumerate(texts) for e in terms.for_text(t)} == plain
+    assert glossary.relevant(df.where("false"), chunks_df).count() == 0
+
+
+def test_retries():
+    from folioforge.plans import translate
+
+    waits, calls = [], []
+
+    def failing(request):
+        calls.append(request)
+        if len(calls) < 3:
+            raise ConnectionError("Connection reset by peer")
+        return "done"
+
+    assert translate.with_retries(failing, 2, 0.5, 0, sleep=waits.append)({}) == "done" and waits == [0.5, 1.0]
+    for message, tries in (("401 unauthorized", 1), ("rate limit", 3)):
+        calls.clear()
+
+        def broken(request):
+            calls.append(request)
+            raise ValueError(message)
+
+        try:
+            translate.with_retries(broken, 2, 0, 5)({})
+        except ValueError as error:
+            assert str(error) == message and len(calls) == tries
+    slow = translate.with_retries(lambda r: time.sleep(2) or "late", 0, 0, 0.05)
+    try:
+        slow({})
+        raise AssertionError("no timeout")
+    except TimeoutError:
+        pass
+
+
+def test_first_pass_review_and_revision(spark):
+    from folioforge.plans import translate
+
+    seen = spark.createDataFrame(
+        [(d, f"c{i}", i, "de", json.dumps([{"block_id": f"b{i}", "source_text": f"text {i} [[INLINE_0001]]"}]), f"text {i}", [f"p{i}"]) for d in "de" for i in range(3)],
+        "document_id string, chunk_id string, chunk_index int, target_language string, expected_json string, text string, paragraph_ids array<string>",
+    )
+
+    def answerer(request):
+        block = request["blocks"][0]
+        told = request["context"][-1]["paragraph_ids"] if request["context"] else None
+        if "feedback" not in request:
+            out = "first " + block["source_text"] + f" after {told}"
+        elif block["block_id"] == "b1":
+            raise RuntimeError("model gone")
+        else:
+            out = "better " + (block["source_text"] if block["block_id"] == "b0" else "without its token")
+        return json.dumps({"block_translations": [{"block_id": block["block_id"], "translated_text": out}]})
+
+    first = translate.in_order(seen, answerer).cache()
+    assert first.where("chunk_id = 'c1'").first().translated_text == "first text 1 [[INLINE_0001]] after ['p0']"
+
+    def reviewer(request):
+        if "text 0" not in request["prompt"]:
+            raise RuntimeError("nothing to review")
+        return "Use better words."
+
+    remarks = translate.reviewed(first, seen, reviewer)
+    assert [(r.feedback, r.error) for r in remarks.collect()] == [("Use better words.", None)] * 2
+    only_d = remarks.where("document_id = 'd'")
+    rows = {(r.document_id, r.chunk_id): r for r in translate.revised(seen, first, only_d, answerer).collect()}
+    assert rows["d", "c0"].translated_text == "better text 0 [[INLINE_0001]]" and rows["d", "c0"].revision_error is None
+    assert rows["d", "c1"].translated_text == rows["d", "c1"].first_text and rows["d", "c1"].revision_error == "RuntimeError: model gone"
+    assert rows["d", "c2"].translated_text == rows["d", "c2"].first_text  # it lost its token
+    assert all(rows["e", f"c{i}"].translated_text == rows["e", f"c{i}"].first_text for i in range(3))
+    status = {r.document_id: (r.status, r.failed_chunks) for r in translate.revision_status(translate.revised(seen, first, only_d, answerer)).collect()}
+    assert status == {"d": ("completed_with_errors", 1), "e": ("completed", 0)}
+    answers = translate.answered(seen.where("document_id = 'd'"), lambda r: 1 / 0).collect()
+    assert [(a.error, a.block_translations) for a in answers] == [("ZeroDivisionError: division by zero", [])] * 3
+
+
+def test_order_survives_what_models_give(spark):
+    from folioforge.plans import translate
+
+    seen = spark.createDataFrame([("d", f"c{i}", i, "de", '[{"block_id": "b", "source_text": "The harbour"}]', "The harbour") for i in range(3)],
+                                 "document_id string, chunk_id string, chunk_index int, target_language string, expected_json string, text string")
+    given = {"glossary": [{"source_terms": ["Harbour"], "target_terms": ["Hafen"], "priority": "urgent"}, {"source_term": "harbour", "target_terms": "Port", "priority": 3}, 5]}
+    sizes = [r.glossary_size for r in translate.in_order(seen, lambda r: json.dumps(given)).orderBy("chunk_index").collect()]
+    assert sizes == [0, 1, 1]
+    for bad in ("[]", "null", "no", '{"glossary": "x"}', '{"glossary": {"a": 1}}'):
+        assert translate.in_order(seen, lambda r: bad).count() == 3
