@@ -109,3 +109,43 @@ def reconstructed(chunks: DataFrame, text: str = "translated_text") -> DataFrame
         "cs", lambda c, i: F.concat(F.when(i == 0, "").when(c["more"], " ").otherwise("\n\n"), c["t"])
     )
     return grouped.select("document_id", F.array_join(pieces, "").alias("text"))
+
+
+def block_sections(planned: DataFrame) -> DataFrame:
+    """(document_id, block_id, section_id) of sections with their block_ids."""
+    return planned.select("document_id", F.explode("block_ids").alias("block_id"), "section_id")
+
+
+LEAST_PAGE, MOST_PAGE, PAGE = 1, 100, 40
+
+
+def page(rows: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A page of each document's blocks, in order, with total_blocks, page, page_count, has_previous and has_next.
+
+    The offset is held at 0 or above, the limit between 1 and 100. Counting comes before the cut.
+    """
+    offset, limit = max(0, int(offset)), min(MOST_PAGE, max(LEAST_PAGE, int(limit)))
+    document = Window.partitionBy("document_id")
+    rows = rows.withColumns(
+        {"__at": F.row_number().over(document.orderBy("block_index", "block_id")), "total_blocks": F.count("*").over(document)}
+    )
+    return (
+        rows.where((F.col("__at") > offset) & (F.col("__at") <= offset + limit))
+        .withColumns(
+            {
+                "page": F.lit(offset // limit + 1),
+                "page_count": (F.floor((F.col("total_blocks") - 1) / limit) + 1).cast("int"),
+                "has_previous": F.lit(offset > 0),
+                "has_next": F.col("total_blocks") > offset + limit,
+            }
+        )
+        .drop("__at")
+    )
+
+
+def application_counts(blocks: DataFrame, given: DataFrame) -> DataFrame:
+    """(document_id, translatable_block_count, applied_unit_count): blocks, and those with a translation."""
+    done = given.where("translated_text <> ''").select("document_id", "block_id", F.lit(1).alias("done"))
+    return blocks.select("document_id", "block_id").join(done, ["document_id", "block_id"], "left").groupBy("document_id").agg(
+        F.count("*").alias("translatable_block_count"), F.count("done").alias("applied_unit_count")
+    )

@@ -68,8 +68,8 @@ def _error(error: Exception) -> str:
 
 
 def echo(request: dict[str, Any]) -> str:
-    """Answers with the source texts under a mark of the language; tables cell by cell."""
-    mark = f"[{request.get('target_language') or '?'}] "
+    """Answers with the source texts under a mark of the language; tables cell by cell. A second pass has a plus."""
+    mark = f"[{request.get('target_language') or '?'}{'+' * bool(request.get('feedback'))}] "
     out = []
     for item in request["blocks"]:
         answer: dict[str, Any] = {"block_id": item["block_id"], "paragraph_id": item.get("paragraph_id")}
