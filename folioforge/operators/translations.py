@@ -149,3 +149,15 @@ def application_counts(blocks: DataFrame, given: DataFrame) -> DataFrame:
     return blocks.select("document_id", "block_id").join(done, ["document_id", "block_id"], "left").groupBy("document_id").agg(
         F.count("*").alias("translatable_block_count"), F.count("done").alias("applied_unit_count")
     )
+
+
+def use(blocks: DataFrame, given: DataFrame) -> DataFrame:
+    """(document_id, used, unused, missing): entries of known blocks, entries of others, blocks without an entry."""
+    both = blocks.select("document_id", "block_id", F.lit(1).alias("block")).join(
+        given.select("document_id", "block_id", F.lit(1).alias("entry")), ["document_id", "block_id"], "full"
+    )
+    known, entry = F.col("block").isNotNull(), F.col("entry").isNotNull()
+    return both.groupBy("document_id").agg(
+        F.count(F.when(known & entry, 1)).alias("used"), F.count(F.when(~known, 1)).alias("unused"),
+        F.count(F.when(~entry, 1)).alias("missing"),
+    )

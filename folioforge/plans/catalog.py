@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.estimates import estimate, estimate_sql
-from ..functions.words import count_words, count_words_sql
+from ..functions.words import PYTHON_SPACE, count_words, count_words_sql, re2
 from ..operators import activity, blocks, chunks, glossary, progress, reconcile, sections, tables, translations
 from ..tables import table, unique_rows
 from .registry import Registry
@@ -20,6 +20,8 @@ CONTEXT = 3
 
 # ---- parts of the SQL ----
 
+PYTHON_SPACE_RE2 = re2(PYTHON_SPACE)
+
 FIXED = ", ".join(f"'{t}'" for t in blocks.FIXED_TYPES)
 BLOCKS_SQL = f"""
     b AS (SELECT * EXCLUDE (translatable, rk),
@@ -116,21 +118,27 @@ def parsed_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.parsed_blocks(rows)
 
 
-@add("""
-    WITH r AS (SELECT document_id, parsed_document_json::JSON AS j FROM documents WHERE parsed_document_json IS NOT NULL),
-    x AS (SELECT document_id, unnest(json_extract(j, '$.blocks[*]')) AS b FROM r)
-    SELECT x.document_id, json_extract_string(b, '$.block_id') AS block_id
-    FROM x JOIN (SELECT DISTINCT document_id, block_id, text FROM blocks) y
-      ON y.document_id = x.document_id AND y.block_id = json_extract_string(b, '$.block_id')
-    WHERE y.text IS DISTINCT FROM json_extract_string(b, '$.text')""")
-def blocks_differing_from_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks whose text isn't the one in their document's JSON; a comparison of two parses."""
-    left = parsed_blocks(spark, folder).select("document_id", "block_id", F.col("text").alias("json_text"))
-    rows = left.join(_blocks(spark, folder), ["document_id", "block_id"])
-    return rows.where(~F.col("text").eqNullSafe(F.col("json_text"))).select("document_id", "block_id")
-
-
-@add()
+@add(f"""WITH {BLOCKS_SQL},
+    r AS (SELECT DISTINCT document_id, parsed_document_json::JSON AS j FROM documents WHERE parsed_document_json IS NOT NULL),
+    x AS (SELECT document_id, unnest(json_extract(j, '$.blocks[*]')) AS v FROM r),
+    y AS (SELECT document_id, json_extract_string(v, '$.block_id') AS block_id, json_extract_string(v, '$.text') AS text,
+                 coalesce(json_extract_string(v, '$.type'), 'paragraph') AS type FROM x)
+    SELECT b.document_id, b.block_id, y.block_id IS NOT NULL AS in_json, b.text IS NOT DISTINCT FROM y.text AS same_text,
+           b.block_type IS NOT DISTINCT FROM y.type AS same_type
+    FROM b LEFT JOIN y ON y.document_id = b.document_id AND y.block_id = b.block_id""")
+def blocks_against_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block against the one in its document's JSON; a comparison of two parses."""
+    left = parsed_blocks(spark, folder).select("document_id", "block_id", F.col("text").alias("json_text"), "type", F.lit(True).alias("there"))
+    rows = _blocks(spark, folder).join(left, ["document_id", "block_id"], "left")
+    return rows.select(
+        "document_id", "block_id", F.col("there").isNotNull().alias("in_json"), F.col("text").eqNullSafe(F.col("json_text")).alias("same_text"),
+        F.col("block_type").eqNullSafe(F.col("type")).alias("same_type"),
+    )
+
+
+@add(f"""WITH {BLOCKS_SQL}
+    SELECT document_id, to_json({{'blocks': list({{'block_id': block_id, 'type': block_type, 'text': text, 'translate': translatable,
+           'level': block_level}} ORDER BY block_index, block_id)}})::VARCHAR AS parsed_json FROM b GROUP BY document_id""")
 def block_json(spark: SparkSession, folder: str) -> DataFrame:
     """Documents' blocks written as JSON."""
     return blocks.to_json(_blocks(spark, folder))
@@ -362,12 +370,12 @@ def exported_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @add(f"""WITH {PARAGRAPHS_SQL}, {ENTRIES_SQL}
-    SELECT e.document_id, e.block_id FROM e ANTI JOIN p ON p.document_id = e.document_id AND p.block_id = e.block_id""")
-def unused_translations(spark: SparkSession, folder: str) -> DataFrame:
-    """Translations of blocks that don't exist or aren't translated."""
-    known = _paragraphs(spark, folder).select("document_id", "block_id")
-    rows = _entries(spark, folder).select("document_id", "block_id")
-    return rows.join(known, ["document_id", "block_id"], "left_anti")
+    SELECT coalesce(p.document_id, e.document_id) AS document_id, count(*) FILTER (WHERE p.block_id IS NOT NULL AND e.block_id IS NOT NULL) AS used,
+           count(*) FILTER (WHERE p.block_id IS NULL) AS unused, count(*) FILTER (WHERE e.block_id IS NULL) AS missing
+    FROM p FULL JOIN e ON p.document_id = e.document_id AND p.block_id = e.block_id GROUP BY 1""")
+def translation_use(spark: SparkSession, folder: str) -> DataFrame:
+    """By document: translations of its blocks, translations of blocks that don't exist or aren't translated, and blocks without any."""
+    return translations.use(_paragraphs(spark, folder), _entries(spark, folder))
 
 
 @add(f"""WITH {PARAGRAPHS_SQL}, {ENTRIES_SQL}
@@ -411,7 +419,39 @@ def table_shapes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@add()
+def _texts(names: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(names) + ")"
+
+
+_TITLE_SQL = _texts(tuple(
+    f"contains(low, '{t}') OR contains(regexp_replace(low, '[\\s\\-_]+', '', 'g'), '{''.join(t.replace('-', ' ').replace('_', ' ').split())}')"
+    for t in X.CONTENTS_TITLES
+))
+_REFS = "'[,;，；،؛]\\s*\\d{1,4}[A-Za-z]?\\b'"
+_SIGNALS_SQL = {
+    "toc_title_hint": "title", "near_document_start": "block_index - 1 <= 10", "compact_layout_table": "h <= 4 AND w <= 3",
+    "page_reference_entries": "refs >= 3", "dense_page_reference_entries": "refs >= 8", "semicolon_separated_entries": "semicolons >= 3",
+    "dense_page_reference_cells": "dense", "numeric_data_grid": "num >= 0.6 AND refs < 3",
+    "regular_data_grid_shape": "h >= 5 AND w >= 3 AND refs < 3",
+}
+
+
+@add(f"""WITH {BLOCKS_SQL},
+    r AS (SELECT document_id, block_id, block_index, list_transform(list_filter(string_split(text, chr(10)), lambda x: {X.strip_sql("x")} <> ''),
+                 lambda l: list_transform(string_split(l, '|'), lambda c: {X.strip_sql("c")})) AS rows FROM b WHERE block_type = 'table'),
+    f AS (SELECT *, flatten(rows) AS cells, {X.strip_sql("array_to_string(flatten(rows), ' ')")} AS flat FROM r),
+    g AS (SELECT *, len(rows) AS h, coalesce(list_max(list_transform(rows, lambda r: len(r))), 0) AS w, len(regexp_extract_all(flat, {_REFS})) AS refs,
+                 len(regexp_extract_all(flat, '[;；؛]')) AS semicolons, lower({X.inline_text_sql("flat")}) AS low,
+                 len(list_filter(cells, lambda c: len(regexp_extract_all(c, {_REFS})) >= 3)) > 0 AS dense,
+                 list_filter(cells, lambda c: c <> '') AS filled FROM f),
+    s AS (SELECT *, {_TITLE_SQL} AS title, CASE WHEN len(filled) = 0 THEN 0.0
+                 ELSE len(list_filter(filled, lambda c: regexp_full_match(c, '[\\s\\d.,%$€£¥+\\-()/:]+'))) / len(filled) END AS num FROM g),
+    t AS (SELECT *, {" + ".join(f"CASE WHEN {sql} THEN {tables.ROLE_WEIGHTS[name]} ELSE 0 END" for name, sql in _SIGNALS_SQL.items())} AS score,
+                 array_to_string([{", ".join(f"CASE WHEN {sql} THEN '{name}' END" for name, sql in _SIGNALS_SQL.items())}], ',') AS signals FROM s)
+    SELECT document_id, block_id,
+           CASE WHEN score >= 10 THEN 'toc_layout' WHEN score >= 7 AND refs >= 3 THEN 'possible_toc_layout' ELSE 'data' END AS table_role,
+           CASE WHEN score >= 10 THEN 'high' WHEN score >= 7 AND refs >= 3 THEN 'medium' WHEN score <= 2 THEN 'high' ELSE 'low' END AS table_role_confidence,
+           score::INTEGER AS table_role_score, signals, score >= 10 AS is_layout_table FROM t""")
 def table_roles(spark: SparkSession, folder: str) -> DataFrame:
     """The score that tells lists of contents from data, for every table."""
     zero = F.lit(0)
@@ -443,7 +483,37 @@ def table_translations(spark: SparkSession, folder: str) -> DataFrame:
 # ---- chunks ----
 
 
-@add()
+_W = "[^" + PYTHON_SPACE_RE2 + "]+"
+_S = "[" + PYTHON_SPACE_RE2 + "]+"
+
+
+@add(f"""WITH RECURSIVE
+    raw AS (SELECT DISTINCT document_id, {X.strip_sql("replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS t FROM documents),
+    para AS (SELECT document_id, ps[i] AS t, i AS n FROM (SELECT document_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (
+                   SELECT document_id, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'),
+                     lambda x: regexp_replace({X.strip_sql("x")}, '[ \\t]*\\n[ \\t]*', ' ', 'g')), lambda x: x <> '') AS ps FROM raw))),
+    piece AS (SELECT document_id, n, 0 AS part, NULL::VARCHAR AS text, t AS rest FROM para
+              UNION ALL
+              SELECT document_id, n, part + 1,
+                     CASE WHEN {count_words_sql("rest")} <= {CHUNK_WORDS} THEN {X.strip_sql("rest")} ELSE coalesce(nullif(done, ''), head) END,
+                     CASE WHEN {count_words_sql("rest")} <= {CHUNK_WORDS} THEN ''
+                          ELSE {X.strip_sql("substr(rest, length(coalesce(nullif(done, ''), head)) + 1)")} END
+              FROM (SELECT *, regexp_extract(head, '(?s)^(.*[.!?…]+["''”’»)\\]]*)(?:' || '{_S}' || '|$)', 1) AS done
+                    FROM (SELECT *, regexp_extract(rest, '^(?:{_W}{_S}){{0,{CHUNK_WORDS - 1}}}{_W}') AS head FROM piece WHERE rest <> ''))),
+    unit AS (SELECT document_id, n, part, text, {count_words_sql("text")} AS w, count(*) OVER (PARTITION BY document_id, n) AS parts
+             FROM piece WHERE part > 0),
+    u AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n, part) AS m FROM unit),
+    pk AS (SELECT document_id, m, w AS filled, 1 AS chunk, parts > 1 AS shut FROM u WHERE m = 1
+           UNION ALL
+           SELECT u.document_id, u.m, CASE WHEN pk.shut OR u.parts > 1 OR pk.filled + u.w > {CHUNK_WORDS} THEN u.w ELSE pk.filled + u.w END,
+                  pk.chunk + CASE WHEN pk.shut OR u.parts > 1 OR pk.filled + u.w > {CHUNK_WORDS} THEN 1 ELSE 0 END, u.parts > 1
+           FROM pk JOIN u ON u.document_id = pk.document_id AND u.m = pk.m + 1)
+    SELECT document_id, chunk AS chunk_index, {X.numbered_sql("chunk_", "chunk")} AS chunk_id,
+           string_agg({X.numbered_sql("p", "n")}, ',' ORDER BY m) AS paragraph_ids, string_agg(text, chr(10) || chr(10) ORDER BY m) AS text,
+           sum(w)::BIGINT AS source_word_count, max(parts) > 1 AS contains_partial_paragraph, min(part) = 1 AS starts_paragraph,
+           min(part) > 1 AS continues_paragraph, max(parts) = 1 OR min(part) = max(parts) AS ends_paragraph,
+           CASE WHEN max(parts) > 1 THEN 'paragraph_too_long' END AS split_reason
+    FROM pk JOIN u USING (document_id, m) GROUP BY document_id, chunk""")
 def manuscript_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text in chunks; tested against a plain loop."""
     rows = unique_rows(table(spark, folder, "documents").select("document_id", "text"), "document_id")
@@ -550,7 +620,21 @@ def glossary_entries(spark: SparkSession, folder: str) -> DataFrame:
     return _glossary(spark, folder).select("document_id", "entry_id", "preferred_target", "priority", "category", "reason")
 
 
-@add()
+_CLEAN_TERM = X.strip_sql("replace(replace(t, chr(173), ''), chr(160), ' ')")
+_BESIDE = "[^\\p{L}\\p{M}\\p{N}\\p{Pc}]"
+
+
+@add(f"""WITH g AS (SELECT DISTINCT ON (document_id, entry_id) * FROM glossary),
+    q AS (SELECT document_id, entry_id, lower({X.strip_sql("priority")}) AS priority,
+                 list_filter(source_terms, lambda t: {X.term_key_sql("t")} <> '') AS ss, list_filter(target_terms, lambda t: {X.term_key_sql("t")} <> '') AS ts FROM g),
+    c AS (SELECT DISTINCT ON (document_id, chunk_id) document_id, chunk_id, replace(replace(text, chr(173), ''), chr(160), ' ') AS text FROM chunks),
+    t AS (SELECT DISTINCT document_id, entry_id, {_CLEAN_TERM} AS term FROM (SELECT document_id, entry_id, unnest(ss) AS t FROM q WHERE len(ss) > 0 AND len(ts) > 0)),
+    m AS (SELECT document_id, entry_id, '(?i)' || CASE WHEN regexp_matches(term, '^[\\p{{L}}\\p{{N}}]') THEN '(?:^|{_BESIDE})' ELSE '' END
+                 || array_to_string(list_transform(regexp_split_to_array(term, '\\s+'), lambda x: regexp_escape(x)), '\\s+')
+                 || CASE WHEN regexp_matches(term, '[\\p{{L}}\\p{{N}}]$') THEN '(?:$|{_BESIDE})' ELSE '' END AS pattern FROM t WHERE term <> '')
+    SELECT document_id, chunk_id, entry_id FROM c JOIN q USING (document_id) WHERE priority = 'high' AND len(ss) > 0 AND len(ts) > 0
+    UNION
+    SELECT c.document_id, chunk_id, entry_id FROM c JOIN m ON m.document_id = c.document_id WHERE regexp_matches(text, pattern)""")
 def glossary_relevant(spark: SparkSession, folder: str) -> DataFrame:
     """The entries that matter for each stored chunk."""
     entries = _glossary(spark, folder).select("document_id", "entry_id", "priority", "source_terms")
@@ -558,7 +642,52 @@ def glossary_relevant(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", "chunk_id", "entry_id")
 
 
-@add()
+def _unique_sql(terms: str) -> str:
+    """Trimmed terms, without blank ones and those that equal an earlier one by key."""
+    kept = f"list_filter(list_transform({terms}, lambda t: {X.strip_sql('t')}), lambda t: {X.term_key_sql('t')} <> '')"
+    keys = f"list_transform({kept}, lambda t: {X.term_key_sql('t')})"
+    return f"list_filter({kept}, lambda t, i: list_position({keys}, {X.term_key_sql('t')}) = i)"
+
+
+def _keys_sql(terms: str) -> str:
+    return f"list_transform({terms}, lambda t: {X.term_key_sql('t')})"
+
+
+_NEW = """{'ss': n.ss, 'sk': n.sk, 'ts': n.ts, 'tk': n.tk, 'pref': n.pref, 'cat': n.cat, 'prio': n.prio, 'n': 1, 'reason': n.reason,
+    'first': n.chunk, 'last': n.chunk}"""
+
+
+def _joined(a: str, ak: str, b: str, bk: str) -> str:
+    return f"list_concat({a}, list_filter({b}, lambda t, i: NOT list_contains({ak}, {bk}[i])))"
+
+
+_OLD = f"""{{'ss': {_joined("o.ss", "o.sk", "n.ss", "n.sk")}, 'sk': list_concat(o.sk, list_filter(n.sk, lambda k: NOT list_contains(o.sk, k))),
+    'ts': {_joined("o.ts", "o.tk", "n.ts", "n.tk")}, 'tk': list_concat(o.tk, list_filter(n.tk, lambda k: NOT list_contains(o.tk, k))),
+    'pref': o.pref, 'cat': CASE WHEN o.cat = 'other' THEN n.cat ELSE o.cat END,
+    'prio': CASE WHEN n.prio > o.prio THEN n.prio ELSE o.prio END, 'n': o.n + 1,
+    'reason': CASE WHEN o.reason = '' THEN n.reason ELSE o.reason END, 'first': o.first, 'last': n.chunk}}"""
+
+
+@add(f"""WITH RECURSIVE g AS (SELECT DISTINCT ON (document_id, entry_id) * FROM glossary),
+    q AS (SELECT document_id, entry_id, coalesce(first_seen_chunk_id, '') AS chunk, {_unique_sql("source_terms")} AS ss, {_unique_sql("target_terms")} AS ts0,
+                 nullif({X.strip_sql("preferred_target")}, '') AS wanted, coalesce({X.strip_sql("reason")}, '') AS reason,
+                 coalesce(nullif(lower({X.strip_sql("category")}), ''), 'other') AS cat,
+                 coalesce(list_position(['low', 'medium', 'high'], lower({X.strip_sql("priority")})), 2) AS prio FROM g),
+    w AS (SELECT *, coalesce(wanted, ts0[1]) AS pref FROM q WHERE len(ss) > 0 AND len(ts0) > 0),
+    v AS (SELECT *, CASE WHEN list_contains({_keys_sql("ts0")}, {X.term_key_sql("pref")}) THEN ts0 ELSE list_concat([pref], ts0) END AS ts FROM w),
+    n AS (SELECT *, {_keys_sql("ss")} AS sk, {_keys_sql("ts")} AS tk, row_number() OVER (PARTITION BY document_id ORDER BY chunk, entry_id) AS m FROM v),
+    f AS (SELECT document_id, m, [{_NEW}] AS state FROM n WHERE m = 1
+          UNION ALL
+          SELECT n.document_id, n.m, CASE WHEN coalesce(spot, 0) = 0 THEN list_append(state, {_NEW})
+                     ELSE list_transform(state, lambda o, i: CASE WHEN i = spot THEN {_OLD} ELSE o END) END
+          FROM (SELECT f.document_id, f.m, f.state, list_position(list_transform(f.state, lambda o: len(list_intersect(o.sk, x.sk)) > 0), true) AS spot
+                FROM f JOIN n x ON x.document_id = f.document_id AND x.m = f.m + 1) f
+               JOIN n ON n.document_id = f.document_id AND n.m = f.m + 1),
+    z AS (SELECT document_id, arg_max(state, m) AS state FROM f GROUP BY document_id),
+    e AS (SELECT document_id, unnest(state) AS o, generate_subscripts(state, 1) AS i FROM z)
+    SELECT document_id, {X.numbered_sql("g", "i")} AS entry_id, array_to_string(o.ss, '|') AS source_terms, array_to_string(o.ts, '|') AS target_terms,
+           o.pref AS preferred_target, o.cat AS category, ['low', 'medium', 'high'][o.prio] AS priority, o.n::INTEGER AS usage_count, o.reason AS reason,
+           nullif(o.first, '') AS first_seen_chunk_id, nullif(o.last, '') AS last_seen_chunk_id FROM e""")
 def glossary_merged(spark: SparkSession, folder: str) -> DataFrame:
     """Glossaries folded anew from their entries, in the order in which they were first seen."""
     entries = _glossary(spark, folder).select(
@@ -572,11 +701,38 @@ def glossary_merged(spark: SparkSession, folder: str) -> DataFrame:
 # ---- answers of a model ----
 
 
-@add()
+def _tokens_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, '{X.TOKEN}')"
+
+
+@add(f"""WITH {PARAGRAPHS_SQL}, c AS (SELECT DISTINCT ON (document_id, chunk_id) * FROM chunks),
+    d AS (SELECT DISTINCT document_id, target_lang FROM documents),
+    i AS (SELECT document_id, chunk_id, chunk_index, unnest(paragraph_ids) AS pid, generate_subscripts(paragraph_ids, 1) AS place FROM c),
+    r AS (SELECT i.document_id, chunk_id, chunk_index, block_type = 'table' AS is_table, {X.strip_sql("text")} AS source, text,
+                 coalesce('[' || target_lang || '] ' || text, text) AS echo,
+                 row_number() OVER (PARTITION BY i.document_id, chunk_id ORDER BY place) AS k, count(*) OVER (PARTITION BY i.document_id, chunk_id) AS n,
+                 list_transform(list_filter(string_split(text, chr(10)), lambda x: {X.strip_sql("x")} <> ''),
+                   lambda l: list_transform(string_split(l, '|'), lambda c: {X.strip_sql("c")})) AS rows
+          FROM i JOIN p ON p.document_id = i.document_id AND {X.numbered_sql("p", "n")} = pid JOIN d ON d.document_id = i.document_id),
+    t AS (SELECT document_id, chunk_id, {X.strip_sql("string_agg(echo, chr(10) || chr(10) ORDER BY k)")} AS plain FROM r GROUP BY ALL),
+    q AS (SELECT r.*, plain, CASE WHEN chunk_index % 5 <> 0 THEN {X.strip_sql("echo")} WHEN n = 1 THEN plain
+                 ELSE coalesce(list_filter(list_transform(regexp_split_to_array(plain, '\\n\\s*\\n'), lambda x: {X.strip_sql("x")}), lambda x: x <> '')[k], '') END AS given,
+                 {X.strip_sql("array_to_string(list_transform(rows, lambda r: array_to_string(r, chr(9))), chr(10))")} AS lines
+          FROM r JOIN t ON t.document_id = r.document_id AND t.chunk_id = r.chunk_id),
+    s AS (SELECT *, given <> '' AND list_sort(list_distinct({_tokens_sql("given")})) = list_sort(list_distinct({_tokens_sql("text")}))
+                 AND (NOT is_table OR list_transform(list_filter(string_split(given, chr(10)), lambda l: {X.strip_sql("l")} <> ''),
+                        lambda l: len(string_split(l, chr(9)))) = list_transform(rows, lambda r: len(r))) AS safe FROM q),
+    o AS (SELECT *, CASE WHEN safe THEN given WHEN given = '' THEN '' WHEN is_table AND lines <> '' THEN lines ELSE source END AS final FROM s)
+    SELECT document_id, chunk_id, count(*) FILTER (WHERE final <> '')::INTEGER AS block_count,
+           (max(CASE WHEN chunk_index % 5 = 0 THEN 1 ELSE 0 END) + sum(CASE WHEN safe THEN 0 WHEN given = '' THEN 1 ELSE 2 END))::INTEGER AS note_count,
+           count(*) FILTER (WHERE final <> '' AND safe AND chunk_index % 5 <> 0)::INTEGER AS answered,
+           coalesce(nullif(string_agg(final, chr(10) || chr(10) ORDER BY k) FILTER (WHERE final <> ''), ''),
+                    CASE WHEN max(chunk_index % 5) = 0 THEN any_value(plain) ELSE '' END) AS translated_text
+    FROM o GROUP BY document_id, chunk_id""")
 def reconciled_answers(spark: SparkSession, folder: str) -> DataFrame:
     """The deterministic answerer's answers to the stored chunks, against the blocks asked for.
 
-    Every fifth chunk's answer is no JSON, as models will have it.
+    The answer to every fifth chunk of a document is no JSON, as models will have it.
     """
     targets = unique_rows(table(spark, folder, "documents").select("document_id", "target_lang"), "document_id")
     rows = chunks.chunk_blocks(_stored_chunks(spark, folder).drop("text"), _paragraphs(spark, folder))
@@ -586,13 +742,13 @@ def reconciled_answers(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("block_type") == "table", tables.rows_of(F.col("text"))).alias("table_rows"),
     )
     answer = F.struct("block_id", "paragraph_id", _echo(F.col("target_lang"), F.col("text")).alias("translated_text"))
-    asked = rows.groupBy("document_id", "chunk_id").agg(
+    asked = rows.groupBy("document_id", "chunk_id", "chunk_index").agg(
         F.array_sort(F.collect_list(F.struct("position", spec.alias("spec")))).alias("asked"),
         F.array_sort(F.collect_list(F.struct("position", answer.alias("answer")))).alias("given"),
     )
     given = F.transform("given", lambda x: x["answer"])
     plain = F.array_join(F.transform(given, lambda x: x["translated_text"]), "\n\n")
-    broken = F.pmod(F.xxhash64("document_id", "chunk_id"), F.lit(5)) == 0
+    broken = F.col("chunk_index") % 5 == 0
     asked = asked.select(
         "document_id", "chunk_id", F.to_json(F.transform("asked", lambda x: x["spec"])).alias("expected_json"),
         F.when(broken, plain).otherwise(F.to_json(F.struct(given.alias("block_translations")))).alias("output"),
@@ -678,12 +834,24 @@ def late_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 @add(f"""WITH {USAGE_SQL}, {JOBS_SQL},
     o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at NULLS LAST, usage_id) AS r2 FROM u) WHERE r2 = 1)
-    SELECT o.job_id, usage_id FROM o ANTI JOIN j ON j.job_id = o.job_id""")
-def usage_without_job(spark: SparkSession, folder: str) -> DataFrame:
-    """One record a job, of those whose job isn't known."""
+    SELECT coalesce(o.job_id, j.job_id) AS job_id, usage_id, j.job_id IS NOT NULL AS job_known, j.status
+    FROM o FULL JOIN (SELECT job_id, status FROM j) j ON j.job_id = o.job_id""")
+def usage_of_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The one record of each job; jobs without a record and records without a job stand alone."""
     once = activity.once_a_job(table(spark, folder, "usage_records")).select("job_id", "usage_id")
-    known = table(spark, folder, "jobs").select("job_id")
-    return activity.appended(known, once, "job_id")
+    known = activity.current_jobs(table(spark, folder, "jobs")).select("job_id", "status", F.lit(True).alias("job_known"))
+    return once.join(known, "job_id", "full").withColumn("job_known", F.coalesce("job_known", F.lit(False)))
+
+
+@add(f"""WITH {USAGE_SQL}, {JOBS_SQL},
+    o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at NULLS LAST, usage_id) AS r2 FROM u) WHERE r2 = 1)
+    SELECT o.job_id, usage_id FROM o ANTI JOIN (SELECT job_id FROM j WHERE job_type = 'translate_next') k ON k.job_id = o.job_id
+    WHERE o.job_id IS NOT NULL""")
+def usage_recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that are added to a ledger which has the jobs of one kind: one a job, none that it has already."""
+    once = activity.once_a_job(table(spark, folder, "usage_records")).where("job_id is not null").select("job_id", "usage_id")
+    ledger = activity.current_jobs(table(spark, folder, "jobs")).where("job_type = 'translate_next'").select("job_id")
+    return activity.appended(ledger, once, "job_id")
 
 
 @add("""SELECT owner_user_id, count(DISTINCT document_id) AS uploads, max(created_at) AS latest FROM documents

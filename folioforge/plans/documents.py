@@ -11,7 +11,7 @@ from ..operators import activity, prompts, tables
 from ..sources import build, packages
 from ..tables import table, unique_rows
 from . import catalog, translate
-from .catalog import BLOCKS_SQL, ENTRIES_SQL, PARAGRAPHS_SQL, STATUS_SQL, add
+from .catalog import BLOCKS_SQL, ENTRIES_SQL, JOBS_SQL, PARAGRAPHS_SQL, STATUS_SQL, add
 
 _CELLS = f"""list_transform(list_filter(string_split(text, chr(10)), lambda x: {X.strip_sql("x")} <> ''),
     lambda l: list_transform(string_split(l, '|'), lambda c: {X.strip_sql("c")}))"""
@@ -157,14 +157,62 @@ def translated_rest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", F.array_join(F.transform("cs", lambda c: c["t"]), "\n\n").alias("text"))
 
 
-@add()
+@add(f"""WITH RECURSIVE {PARAGRAPHS_SQL}, {ENTRIES_SQL},
+    k AS (SELECT DISTINCT document_id, block_id FROM e),
+    q AS (SELECT p.document_id, words, p.block_id, text, block_type, row_number() OVER (PARTITION BY p.document_id ORDER BY n) AS m
+          FROM p ANTI JOIN k USING (document_id, block_id)),
+    s AS (SELECT document_id, m, words AS filled, 1 AS section FROM q WHERE m = 1
+          UNION ALL
+          SELECT q.document_id, q.m, CASE WHEN s.filled + q.words > {catalog.CHUNK_WORDS} THEN q.words ELSE s.filled + q.words END,
+                 s.section + CASE WHEN s.filled + q.words > {catalog.CHUNK_WORDS} THEN 1 ELSE 0 END
+          FROM s JOIN q ON q.document_id = s.document_id AND q.m = s.m + 1),
+    c AS (SELECT document_id, section, string_agg(block_id, ',' ORDER BY m) AS block_ids, string_agg(text, chr(10) || chr(10) ORDER BY m) AS body,
+                 bool_or(block_type = 'table') AS tables, bool_or(contains(text, '[[INLINE_')) AS tokens
+          FROM s JOIN q USING (document_id, m) GROUP BY document_id, section),
+    l AS (SELECT DISTINCT document_id, target_lang FROM documents)
+    SELECT c.document_id, {X.numbered_sql("sec_", "section")} AS chunk_id,
+           'Translate the blocks below into ' || coalesce(target_lang, 'the target language') || '. {prompts.FORMS["general"]}'
+           || ' Answer with JSON: block_translations, an array of block_id and translated_text.'
+           || CASE WHEN tables THEN ' Give tables as table_rows of the same shape.' ELSE '' END
+           || CASE WHEN tokens THEN ' Keep every inline token once.' ELSE '' END AS opening, block_ids,
+           coalesce(array_to_string(list(section) OVER w, ','), '') AS context_sections,
+           coalesce(array_to_string(list(md5(body)) OVER w, ','), '') AS context_md5
+    FROM c JOIN l USING (document_id)
+    WINDOW w AS (PARTITION BY c.document_id ORDER BY section ROWS BETWEEN {translate.CONTEXT} PRECEDING AND 1 PRECEDING)""")
 def section_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """What is asked for everything left: advice, context, terms and blocks of each chunk."""
+    """What is asked for everything left, taken apart again: the opening, the blocks and the context in each prompt."""
     asked = translate.rest_requests(
         catalog._paragraphs(spark, folder), catalog._entries(spark, folder), _languages(spark, folder), catalog.CHUNK_WORDS
     )
     rows = translate.prompted(asked, catalog._glossary(spark, folder), prompts.guidance(spark))
-    return rows.select("document_id", "chunk_id", F.length("prompt").alias("prompt_length"), F.sha2("prompt", 256).alias("prompt_hash"))
+    before = F.from_json(F.regexp_extract("prompt", r"\nBefore:\n(\[\{.*?\}\])\n\n(?:Terms|Blocks):\n", 1), "array<struct<chunk_id string, source_text string>>")
+    items = F.from_json(F.regexp_extract("prompt", r"\nBlocks:\n(.*)$", 1), "array<struct<block_id string>>")
+    number = F.transform(before, lambda c: F.substring(c["chunk_id"], 5, 9).cast("int").cast("string"))
+    return rows.select(
+        "document_id", "chunk_id", F.split_part("prompt", F.lit("\n\n"), F.lit(1)).alias("opening"),
+        F.array_join(F.transform(items, lambda b: b["block_id"]), ",").alias("block_ids"),
+        F.coalesce(F.array_join(number, ","), F.lit("")).alias("context_sections"),
+        F.coalesce(F.array_join(F.transform(before, lambda c: F.md5(c["source_text"])), ","), F.lit("")).alias("context_md5"),
+    )
+
+
+@add(f"""WITH RECURSIVE {PARAGRAPHS_SQL}, {ENTRIES_SQL},
+    k AS (SELECT DISTINCT document_id, block_id FROM e),
+    q AS (SELECT p.*, row_number() OVER (PARTITION BY p.document_id ORDER BY n) AS m FROM p ANTI JOIN k USING (document_id, block_id))
+    SELECT document_id, block_id, paragraph_id, block_type, source_text, shape FROM (
+        SELECT document_id, block_id, {X.numbered_sql("p", "n")} AS paragraph_id, block_type, text AS source_text,
+               CASE WHEN block_type = 'table' THEN array_to_string(list_transform({_CELLS}, lambda r: len(r)::VARCHAR), ',') END AS shape FROM q)""")
+def request_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of all requests as a model sees them, out of their JSON."""
+    asked = translate.rest_requests(
+        catalog._paragraphs(spark, folder), catalog._entries(spark, folder), _languages(spark, folder), catalog.CHUNK_WORDS
+    )
+    item = "array<struct<block_id string, paragraph_id string, block_type string, source_text string, table_shape array<int>>>"
+    rows = asked.select("document_id", F.explode(F.from_json("expected_json", item)).alias("b"))
+    return rows.select(
+        "document_id", "b.block_id", "b.paragraph_id", "b.block_type", "b.source_text",
+        F.array_join(F.transform("b.table_shape", lambda n: n.cast("string")), ",").alias("shape"),
+    )
 
 
 # ---- comparisons and checks ----
@@ -183,11 +231,20 @@ def aligned_units(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", "block_id", F.col("n").cast("bigint").alias("n"), (F.col("text") == F.col("unit")).alias("same"))
 
 
-@add()
+_LINE = X.strip_sql("regexp_replace(error_text, '\\s+', ' ', 'g')")
+
+
+@add(f"""WITH {JOBS_SQL}
+    SELECT job_id, CASE WHEN length({_LINE}) <= 20 THEN {_LINE} ELSE rtrim(substr({_LINE}, 1, 17)) || '...' END AS message,
+           {checks.retryable_sql("error_text")} AS retryable, {checks.retryable_sql("error_text", checks.BATCH)} AS retryable_in_batch
+    FROM j WHERE status = 'failed'""")
 def job_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Failed jobs with a short message, and whether trying again may help."""
     jobs = activity.current_jobs(table(spark, folder, "jobs")).where("status = 'failed'")
-    return jobs.select("job_id", checks.short_message(F.col("error_text")).alias("message"), checks.retryable(F.col("error_text")).alias("retryable"))
+    return jobs.select(
+        "job_id", checks.short_message(F.col("error_text"), 20).alias("message"), checks.retryable(F.col("error_text")).alias("retryable"),
+        checks.retryable(F.col("error_text"), checks.BATCH).alias("retryable_in_batch"),
+    )
 
 
 @add("""SELECT document_id, lower(trim(lang)) = lower(trim(target_lang)) AS same_language,
