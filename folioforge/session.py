@@ -67,6 +67,12 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def file_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and time of the last change of a file or folder, to tell whether a table is still the same."""
+    fs, at = _file_system(spark, path)
+    return fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+
 def remove_written(spark: SparkSession) -> int:
     """Removes the tables that ``written`` has made so far; for use between jobs, when no result of theirs is
     still to be read. Gives their number."""

@@ -10,6 +10,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    For expensive functions over a table of few files: where a scan has fewer tasks than cores, rows are dealt
+    out anew. Large tables have more tasks than that and stay as they lie. The rows are the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def unique_rows(df: DataFrame, *keys: str) -> DataFrame:
     """Repeated rows count once: one row for each key.
 
