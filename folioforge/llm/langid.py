@@ -25,9 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import spread
 from .arrays import folded, groups, mixed
 
 LANGUAGES = ("de", "en", "es", "fr", "pt")
@@ -210,6 +211,19 @@ def translated_texts(translations: DataFrame, key: str, target: str, json: str)
     return sample.groupby(target).head(TRAIN_DOCS)
 
 
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """A model as a Parquet table of one row (5 MB), for other sessions."""
+    row = (bytearray(model.weights.tobytes()), [float(b) for b in model.bias], float(model.sharpness))
+    frame = spark.createDataFrame([row], "weights binary, bias array<double>, sharpness double")
+    frame.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    row = spark.read.parquet(path).first()
+    weights = np.frombuffer(bytes(row.weights), np.float32).reshape(-1, len(LANGUAGES))
+    return Model(weights, np.array(row.bias), row.sharpness)
+
+
 def train(documents: DataFrame) -> Model:
     """A model from documents(document_id, target_lang, translations_json)."""
     sample = translated_texts(documents, "document_id", "target_lang", "translations_json")
@@ -309,4 +323,4 @@ def languages(df: DataFrame, text: str, model: Model, by_paragraph: bool = False
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
     schema += ", segment_no int" * by_paragraph + ", words int, lang string, confidence double, second string, mainly string"
-    return df.select(*kept, text).mapInPandas(run, schema)
+    return spread(df.select(*kept, text)).mapInPandas(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import shipped
-from ..session import written
+from ..session import file_state, written
 from ..tables import table, unique_rows
 from . import align, forms, langid, leak, packing, pairs, reading, split
 
@@ -163,19 +163,36 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 BLOCK_WORDS = 8
 
 
+#: Where a session finds a model that ``langid.save`` wrote; else one is learned from the tables at hand.
+MODEL_PATH = "spark.folioforge.language.model"
+_MODELS: dict[tuple, langid.Model] = {}
+
+
 def language_model(spark: SparkSession, folder: str) -> langid.Model:
-    return langid.train(table(spark, folder, "documents").select("document_id", "target_lang", "translations_json"))
+    """The model of a session and folder: loaded if the session names one, else learned once from documents.
+
+    It is learned again when the files of the table have changed.
+    """
+    if named := spark.conf.get(MODEL_PATH, None):
+        return langid.load(spark, named)
+    key = (spark.sparkContext.applicationId, folder, *file_state(spark, f"{folder}/documents.parquet"))
+    if key not in _MODELS:
+        _MODELS.clear()
+        documents = table(spark, folder, "documents").select("document_id", "target_lang", "translations_json")
+        _MODELS[key] = langid.train(documents)
+    return _MODELS[key]
 
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     """What p4_languages has, and for blocks ``mainly``, the language of more than half of their words.
 
-    Texts are scored where they lie; what is shuffled afterwards are keys and codes. ``main_lang`` is
-    the language of the document. A usage record takes it and its confidence over.
+    Texts are scored once and where they lie; what is shuffled afterwards are keys and codes. Documents'
+    languages, which three parts need, go to a table in the shared folder. ``main_lang`` is the language of
+    the document. A usage record takes it and its confidence over.
     """
     model = language_model(spark, folder)
     documents = table(spark, folder, "documents").select("document_id", F.col("lang").alias("label"), "text")
-    documents = unique_rows(langid.languages(documents, "text", model), "document_id")
+    documents = written(unique_rows(langid.languages(documents, "text", model), "document_id"), "languages")
     main = documents.select("document_id", F.col("lang").alias("main_lang"), F.col("confidence").alias("main_confidence"))
     usage = unique_rows(
         table(spark, folder, "usage_records").select("usage_id", "document_id", F.col("source_language").alias("label")),
