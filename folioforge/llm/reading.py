@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from ..tables import spread
 from .arrays import Words, folded, groups
 from .langid import LANGUAGES, Model
 
@@ -48,6 +49,8 @@ LEAST_COUNT = 4.0
 SLOPE_SPREAD = 1.5
 ITEMS_AT_ONCE = 8192
 LEVEL_SPREAD = 1.0
+#: Sums over all documents are added up in so many tasks a core at most before they are shuffled.
+TASKS_A_CORE = 4
 
 
 @dataclass
@@ -96,7 +99,7 @@ def item_table(documents: DataFrame, key: str, model: Model) -> DataFrame:
                 )
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInPandas(run, f"{key} {kind}, words int, lang int, items array<int>")
+    return spread(documents.select(key, "text")).mapInPandas(run, f"{key} {kind}, words int, lang int, items array<int>")
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +158,9 @@ def occurrence_sums(rows: DataFrame, items: Items | None) -> np.ndarray:
     """Occurrences by item and grid level, over all rows(items, known_level).
 
     Without ``items`` only rows with a known level count; with them every row does, by the prior level
-    where none of its words is known. A partition sends one row for each item
-    that occurs in it, however often.
+    where none of its words is known. A task sends one row for each item that occurs in it, however often,
+    and there are no more tasks than ``TASKS_A_CORE`` for each core: what is shuffled is bounded by the
+    size of the cluster, not of the corpus.
     """
     shared = rows.sparkSession.sparkContext.broadcast(items)
     names = [f"g{i}" for i in range(len(GRID))]
@@ -180,7 +184,8 @@ def occurrence_sums(rows: DataFrame, items: Items | None) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(columns, ["item", *names])
 
     schema = "item int, " + ", ".join(f"{n} double" for n in names)
-    parts = rows.select("items", "known_level").mapInArrow(run, schema)
+    some = rows.select("items", "known_level")
+    parts = some.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
     total = F.lit(0.0)
     for n in names:
         total = total + F.col(n)
