@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from ..tables import spread
 from .arrays import Words, folded, groups, span_hashes
 
 #: Text of test items that is broadcast, with at most 4 M words: some 100 MB of hashes at the very worst.
@@ -182,7 +183,7 @@ def _met_in_place(corpus: DataFrame, tests: DataFrame, doc: str, item: str, text
                 out = pd.DataFrame({doc: keys[a:b][met[:, 0]], item: index.keys[met[:, 1]], "shared_words": np.array(found, np.int32)})
                 yield out[out["shared_words"] > 0]
 
-    return corpus.mapInPandas(run, _schema(doc, item, corpus, tests))
+    return spread(corpus).mapInPandas(run, _schema(doc, item, corpus, tests))
 
 
 def _met_by_shuffle(corpus: DataFrame, tests: DataFrame, doc: str, item: str, text: str, least: int, k: int) -> DataFrame:

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import spread
+
 TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER_FOLDER = "/opt/tokenizers"
 BUCKETS = 128
@@ -69,7 +71,7 @@ def token_counts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
             yield pd.DataFrame({key: batch[key], "tokens": n})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, tokens bigint")
+    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {kind}, tokens bigint")
 
 
 def bucket_boundaries(lengths: np.ndarray, counts: np.ndarray, most: int = BUCKETS) -> np.ndarray:
