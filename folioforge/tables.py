@@ -29,6 +29,27 @@ def unique_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
+#: Keys, as text, that are broadcast to tell rows that stand more than once from the others.
+KEY_BYTES = 32 << 20
+
+
+def unique_in_place(df: DataFrame, key: str) -> DataFrame:
+    """Repeated rows count once, as in ``unique_rows``, for wide rows of which few are repeated.
+
+    Keys alone are counted first. Rows whose key stands once stay where they lie; only those of repeated keys
+    are shuffled, a row a partition for a key at most. Where more keys are repeated than may be broadcast, all are.
+    """
+    repeated = df.groupBy(key).count().where("count > 1").select(key)
+    n, size = repeated.agg(F.count("*"), F.sum(F.octet_length(F.col(key).cast("string")))).first()
+    if not n:
+        return df
+    if (size or 0) > KEY_BYTES:
+        return df.dropDuplicates([key])
+    repeated = F.broadcast(repeated.withColumnRenamed(key, "__key"))
+    same = df[key].eqNullSafe(F.col("__key"))
+    return df.join(repeated, same, "left_anti").unionByName(df.join(repeated, same, "left_semi").dropDuplicates([key]))
+
+
 def latest_rows(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """For each key the row that comes first in ``order``; ties need a total order from the caller."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

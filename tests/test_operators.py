@@ -391,3 +391,17 @@ def test_order_survives_what_models_give(spark):
     assert sizes == [0, 1, 1]
     for bad in ("[]", "null", "no", '{"glossary": "x"}', '{"glossary": {"a": 1}}'):
         assert translate.in_order(seen, lambda r: bad).count() == 3
+
+
+def test_repeated_rows_count_once_wherever_they_lie(spark):
+    from folioforge import tables as T
+
+    df = spark.createDataFrame([(i % 50 if i < 60 else 7, f"t{i % 50 if i < 60 else 7}") for i in range(200)] + [(None, "n"), (None, "n")], "k long, t string")
+    want = sorted((r.k if r.k is not None else -1, r.t) for r in T.unique_rows(df, "k").collect())
+    once = df.where("k between 20 and 30")
+    assert T.unique_in_place(once, "k") is once
+    for size in (1 << 20, 0):
+        T.KEY_BYTES, before = size, T.KEY_BYTES
+        got = sorted((r.k if r.k is not None else -1, r.t) for r in T.unique_in_place(df, "k").collect())
+        T.KEY_BYTES = before
+        assert got == want and len(got) == 51
