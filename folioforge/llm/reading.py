@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from ..tables import spread
+from ..tables import spread, unique_in_place
 from .arrays import Words, folded, groups
 from .langid import LANGUAGES, Model
 
@@ -255,7 +255,7 @@ def bands(documents: DataFrame, labels: DataFrame, model: Model, key: str = "doc
     ``labels`` has (key, level), one row a document. Without any label the scale is that of the
     prior: every level is 2. Repeated keys count once, in the sums of words too.
     """
-    table = written(item_table(documents, key, model).dropDuplicates([key]), "reading-items")
+    table = written(item_table(unique_in_place(documents, key), key, model), "reading-items")
     items, (easy, hard) = fit(table, labels, key)
     level = F.when(F.col("words") == 0, None).when(F.isnan("level"), PRIOR_LEVEL).otherwise(F.col("level"))
     band = F.when(level <= easy, 1).when(level <= hard, 2).when(level > hard, 3)
