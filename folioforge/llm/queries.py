@@ -118,6 +118,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair, whether its answer is empty, whether its text is long enough for the other rules, and the
+    number of defects it should not have: unknown ones, repeated ones, any beside ``empty``."""
+    d = F.col("defects")
+    known = F.array(*map(F.lit, pairs.DEFECTS))
+    words = _translation_pairs(spark, folder).select("document_id", "block_id", split.count_words(F.col("text")).alias("n"), "text")
+    seen = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)[\s\p{Cf}]", "")) > 0
+    words = words.select("document_id", "block_id", ((F.col("n") >= pairs.MIN_WORDS) & seen).alias("long_enough"))
+    empty = F.array_contains(d, "empty")
+    unknown = F.size(F.array_except(d, known)) + F.size(d) - F.size(F.array_distinct(d)) + F.when(empty, F.size(d) - 1).otherwise(0)
+    short = F.when(~F.col("long_enough") & ~empty, F.size(d)).otherwise(0)
+    rows = p2_pairs(spark, folder).join(words, ["document_id", "block_id"])
+    return rows.select("document_id", "block_id", empty.alias("empty"), "long_enough", (unknown + short).alias("unknown"))
+
+
 def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every term in source_terms and preferred_target with its visual form."""
     entries = unique_rows(
@@ -163,6 +178,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 BLOCK_WORDS = 8
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The terms of a document and field that look alike, one row a form: spellings, entries and a representative.
+
+    With p3_forms as membership this says all that pairs say, and a hot form stays one row.
+    """
+    rows = p3_forms(spark, folder).where("form <> ''").groupBy("document_id", "field_name", "form")
+    return rows.agg(
+        F.countDistinct("term").alias("spellings"), F.countDistinct("entry_id").alias("entries"), F.min("term").alias("representative")
+    )
+
+
 #: Where a session finds a model that ``langid.save`` wrote; else one is learned from the tables at hand.
 MODEL_PATH = "spark.folioforge.language.model"
 _MODELS: dict[tuple, langid.Model] = {}
@@ -248,6 +274,18 @@ def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
     return unique_rows(rows.drop("second", "mainly"), "document_id", "segment_no")
 
 
+def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """What the label of every document and usage record names, and whether a language was told."""
+    return p4_languages(spark, folder).select(
+        "record_kind", "document_id", "record_id", "labelled", F.col("lang").isNotNull().alias("told")
+    )
+
+
+def p4_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of every document with their words, and whether a language was told."""
+    return p4_segments(spark, folder).select("document_id", "segment_no", "words", F.col("lang").isNotNull().alias("told"))
+
+
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of sentences of bilingual deposits that translate each other, with their cosine.
 
@@ -265,17 +303,60 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pairs(spark, folder).drop("cosine")
 
 
+def p5_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every block on either side, and how many pairs name a sentence that isn't there."""
+    documents = table(spark, folder, "documents").where("source = 'bilingual_deposit'")
+    documents = unique_rows(documents.select("document_id", "parsed_document_json", "translations_json"), "document_id")
+    counted = align.sentence_counts(documents)
+    found = p5_found(spark, folder)
+    ends = [
+        found.groupBy("document_id", F.lit(side).alias("side"), F.col(f"{side}_block_id").alias("block_id")).agg(
+            F.collect_list(f"{side}_sentence").alias("ns")
+        )
+        for side in ("source", "target")
+    ]
+    rows = counted.join(ends[0].unionByName(ends[1]), ["document_id", "side", "block_id"], "full")
+    beyond = F.size(F.filter(F.coalesce("ns", F.array().cast("array<int>")), lambda n: (n > F.coalesce("sentences", F.lit(0))) | (n < 1)))
+    return rows.select("document_id", "side", "block_id", "sentences", beyond.cast("bigint").alias("beyond"))
+
+
 def p6_containers(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
     """Where every document's text lies in the containers of each token capacity of size_specs.
 
     Texts are cut into tokens once; key and length go to a table in the shared folder, from which the
     histogram and the placement read.
     """
+    return _containers(spark, folder, vocabulary, mix=True)
+
+
+def p6_inside(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """As p6_containers, but every batch is of one bucket alone; more space stays unused."""
+    return _containers(spark, folder, vocabulary, mix=False)
+
+
+def _containers(spark: SparkSession, folder: str, vocabulary: str | None, mix: bool) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     counts = packing.token_counts(documents, "doc_id", "text", vocabulary or packing.vocabulary_path())
     counts = unique_rows(counts, "doc_id")
     specs = table(spark, folder, "size_specs").where("unit = 'tokens'").select("spec_name", "capacity")
-    return packing.pack(written(counts, "token-counts"), specs, "doc_id")
+    return packing.pack(written(counts, "token-counts"), specs, "doc_id", mix=mix)
+
+
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity: documents placed, containers above it, pieces that don't follow each other, needless cuts."""
+    rows = p6_containers(spark, folder)
+    one = rows.groupBy("spec_name", "capacity", "container_id").agg(F.sum("tokens").alias("n"))
+    one = one.groupBy("spec_name", "capacity").agg(F.count(F.when(F.col("n") > F.col("capacity"), 1)).alias("overfull"))
+    by_document = rows.groupBy("spec_name", "capacity", "doc_id").agg(
+        F.sum("tokens").alias("n"), F.max(F.col("token_start") + F.col("tokens")).alias("end"),
+        F.count("*").alias("pieces"), F.max("piece_no").alias("last"),
+    )
+    gap = (F.col("n") != F.col("end")) | (F.col("pieces") != F.col("last"))
+    needless = F.col("pieces") > F.ceil(F.col("n") / F.col("capacity"))
+    checked = by_document.groupBy("spec_name", "capacity").agg(
+        F.count("*").alias("documents"), F.count(F.when(gap, 1)).alias("gaps"), F.count(F.when(needless, 1)).alias("needless_cuts")
+    )
+    return checked.join(one, ["spec_name", "capacity"])
 
 
 def p6_usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,9 +401,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_levels(spark, folder).where(F.col("words") >= BAND_WORDS).select("doc_id", "band")
 
 
+def p8_due(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its words, whether it has a level and a band, and whether it is due a row of p8_found."""
+    band = F.col("band").isin(1, 2, 3) & F.col("level").between(0, 4)
+    due = (F.col("words") >= BAND_WORDS).alias("due")
+    return p8_levels(spark, folder).select("doc_id", "words", F.coalesce(band, F.lit(False)).alias("levelled"), due)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
-        p1_found, p1_pieces, p1_rebuilt, p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_languages, p4_segments,
-        p5_found, p5_pairs, p6_containers, p6_usage, p7_found, p7_leaks, p8_found, p8_levels,
+        p1_found, p1_pieces, p1_rebuilt, p2_found, p2_pairs, p2_answers, p3_found, p3_forms, p3_classes, p4_found, p4_languages,
+        p4_labels, p4_segments, p4_paragraphs, p5_found, p5_pairs, p5_sentences, p6_containers, p6_usage, p6_inside, p6_checks,
+        p7_found, p7_leaks, p8_found, p8_levels, p8_due,
     ]
     return {f.__name__: shipped(f) for f in listed}
