@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
@@ -74,6 +74,105 @@ def docx_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "docx")
 
 
+@add(f"""WITH {BLOCKS_SQL},
+    k AS (SELECT *, {READ_BACK_SQL} AS t, {_SCENE} AS scene,
+                 CASE WHEN block_type IN ('footnote', 'endnote', 'image') THEN NULL WHEN block_type = 'table' THEN 'tbl'
+                      WHEN block_type = 'list_item' THEN 'sdt' ELSE 'p' END AS tag FROM b),
+    n AS (SELECT *, row_number() OVER (PARTITION BY document_id, tag ORDER BY block_index, block_id) AS r,
+                 row_number() OVER (PARTITION BY document_id, block_type ORDER BY block_index, block_id) AS note FROM k),
+    y AS (SELECT *, 'body/' || tag || '[' || r || ']' || CASE WHEN tag = 'sdt' THEN '/sdtContent/p[1]' ELSE '' END AS place,
+                 CASE WHEN scene THEN 'special' WHEN block_type IN ('heading', 'list_item', 'quote', 'caption') THEN block_type ELSE 'paragraph' END AS kind
+          FROM n),
+    z AS (SELECT document_id, 0 AS part, block_index AS i, block_id, 0 AS sub, kind AS block_type, t AS text, true AS translatable,
+                 place || CASE WHEN block_type = 'caption' AND t <> '' THEN '/block[1]' ELSE '' END AS tree_path,
+                 CASE block_type WHEN 'heading' THEN 'here' WHEN 'list_item' THEN 'item' WHEN 'quote' THEN 'https://example.org/quoted'
+                      WHEN 'caption' THEN 'media/one.png' WHEN 'code' THEN note::VARCHAR ELSE '' END AS mark
+          FROM y WHERE tag IN ('p', 'sdt') AND block_type <> 'page_break' AND t <> ''
+          UNION ALL
+          SELECT document_id, 0, block_index, block_id, 1, 'image', '', false, place || CASE WHEN t <> '' THEN '/block[2]' ELSE '' END, 'media/one.png'
+          FROM y WHERE block_type = 'caption'
+          UNION ALL
+          SELECT document_id, 0, block_index, block_id, 1, 'page_break', '', false, place, '' FROM y WHERE block_type = 'page_break'
+          UNION ALL
+          SELECT document_id, 0, block_index, block_id, 0, 'table', CASE WHEN t = '' THEN 'outer' ELSE t || chr(10) || 'outer' END, true, place,
+                 'header ' || 'merged ' || '1' FROM y WHERE tag = 'tbl'
+          UNION ALL
+          SELECT document_id, 0, block_index, block_id, 1, 'table', 'inner', true, place || '/nestedTbl[1]', '0' FROM y WHERE tag = 'tbl'
+          UNION ALL
+          SELECT document_id, CASE block_type WHEN 'footnote' THEN 1 ELSE 2 END, block_index, block_id, 0, block_type, t, true, '', note::VARCHAR
+          FROM y WHERE block_type IN ('footnote', 'endnote') AND t <> ''
+          UNION ALL
+          SELECT document_id, 3, block_index, block_id, 0, 'comment', t, true, '', note::VARCHAR FROM y WHERE block_type = 'code' AND t <> ''
+          UNION ALL
+          SELECT DISTINCT document_id, 4, 0, '', 0, 'header', document_id, true, '', 'word/header1.xml' FROM b
+          UNION ALL
+          SELECT DISTINCT document_id, 5, 0, '', 0, 'footer', 'End of ' || document_id, true, '', 'word/footer1.xml' FROM b)
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY part, i, block_id, sub)::INTEGER AS block_index, block_type, text,
+           translatable, tree_path, mark FROM z""")
+def docx_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a DOCX with links, pictures, content controls, comments, notes, nested tables, header and
+    footer, read back with the places of its blocks and a mark out of what is known of each."""
+    rows = packages.read_blocks(build.packages(catalog._blocks(spark, folder), "docx", parts=True)).where("error is null")
+
+    def at(path: str) -> Column:
+        return F.get_json_object("metadata_json", path)
+
+    def word(path: str, name: str) -> Column:
+        return F.when(at(path) == "true", f"{name} ").otherwise("")
+
+    kind = F.col("block_type")
+    table_mark = F.concat(word("$.has_header_rows", "header"), word("$.has_merged_cells", "merged"), at("$.nested_table_count"))
+    mark = (
+        F.when(kind == "table", table_mark).when(kind == "image", at("$.target"))
+        .when(kind.isin("footnote", "endnote"), at("$.note_id")).when(kind == "comment", at("$.comment_id"))
+        .when(kind.isin("header", "footer"), at("$.source_part"))
+        .otherwise(F.coalesce(
+            at("$.hyperlinks[0].target"), at("$.image_targets[0]"), at("$.content_control.alias"), at("$.comment_ids[0]"), at("$.bookmarks[0].name"), F.lit(""),
+        ))
+    )
+    return rows.select(
+        "document_id", "block_index", "block_type", "text", "translatable", F.coalesce("tree_path", F.lit("")).alias("tree_path"), mark.alias("mark")
+    )
+
+
+@add(f"""WITH {BLOCKS_SQL},
+    n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY block_index, block_id) AS r, count(*) OVER (PARTITION BY document_id) AS total FROM b),
+    q AS (SELECT document_id, 5 AS part, r AS i,
+                 CASE WHEN block_type IN ('heading', 'list_item', 'quote', 'caption', 'code', 'table', 'page_break', 'image', 'footnote', 'endnote')
+                      THEN block_type WHEN {_SCENE} THEN 'special' ELSE 'paragraph' END AS block_type,
+                 CASE WHEN block_type = 'image' THEN '' ELSE {READ_BACK_SQL} END AS text,
+                 CASE WHEN r <= (total + 1) // 2 THEN 'book/p1.xhtml' ELSE 'book/p2.xhtml' END AS source_part,
+                 CASE WHEN block_type = 'list_item' THEN 'ol 1' WHEN block_type = 'table' AND {X.strip_sql("text")} <> '' THEN 'header merged ' ELSE '' END AS mark FROM n),
+    z AS (SELECT document_id, part, i, block_type, text, block_type NOT IN ('code', 'page_break', 'image') AS translatable, source_part, mark
+          FROM q WHERE text <> '' OR block_type IN ('table', 'page_break', 'image')
+          UNION ALL SELECT DISTINCT document_id, 0, 1, 'metadata_title', document_id, true, 'book/book.opf', 'title' FROM b
+          UNION ALL SELECT DISTINCT document_id, 1, 1, 'metadata_creator', 'Someone', false, 'book/book.opf', 'creator' FROM b
+          UNION ALL SELECT DISTINCT document_id, 1, 2, 'metadata_language', 'en', false, 'book/book.opf', 'language' FROM b
+          UNION ALL SELECT DISTINCT document_id, 2, 1, 'metadata_description', 'About ' || document_id, true, 'book/book.opf', 'description' FROM b
+          UNION ALL SELECT DISTINCT document_id, 3, 1, 'image', '', false, 'book/book.opf', 'cover c1' FROM b
+          UNION ALL SELECT DISTINCT document_id, 4, 1, 'toc', 'Contents', false, 'book/nav.xhtml', '' FROM b)
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY part, i)::INTEGER AS block_index, block_type, text, translatable, source_part, mark
+    FROM z""")
+def epub_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a book of two pages with metadata, cover, navigation and hidden text, read back."""
+    rows = packages.read_blocks(build.packages(catalog._blocks(spark, folder), "epub", parts=True)).where("error is null")
+
+    def at(path: str) -> Column:
+        return F.get_json_object("metadata_json", path)
+
+    def word(path: str, name: str) -> Column:
+        return F.when(at(path) == "true", f"{name} ").otherwise("")
+
+    kind = F.col("block_type")
+    mark = (
+        F.when(kind == "list_item", F.concat_ws(" ", at("$.list_type"), at("$.list_level")))
+        .when(kind == "table", F.concat(word("$.has_header_cells", "header"), word("$.has_merged_cells", "merged")))
+        .when(at("$.is_cover") == "true", F.concat(F.lit("cover "), at("$.manifest_id")))
+        .otherwise(F.coalesce(at("$.metadata_field"), F.lit("")))
+    )
+    return rows.select("document_id", "block_index", "block_type", "text", "translatable", "source_part", mark.alias("mark"))
+
+
 def _translated(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     files = build.packages(catalog._blocks(spark, folder), fmt)
     read = packages.read_blocks(files).where("translatable and text <> ''")
@@ -117,6 +216,50 @@ def docx_exports(spark: SparkSession, folder: str) -> DataFrame:
     return _translated(spark, folder, "docx")
 
 
+def _part_exports(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
+    """Packages with parts, every translatable block replaced by its text (with its inline tokens) under a mark, read back."""
+    files = build.packages(catalog._blocks(spark, folder), fmt, parts=True)
+    read = packages.read_blocks(files).where("translatable and text <> ''")
+    cells = F.from_json(F.get_json_object("metadata_json", "$.rows"), "array<array<string>>")
+    is_table = F.col("block_type") == "table"
+    given = read.select(
+        "document_id", "block_id",
+        F.when(~is_table, F.concat(F.lit("X "), F.coalesce("inline_source_text", "text"))).alias("translated_text"),
+        F.when(is_table, F.transform(cells, lambda r: F.transform(r, lambda c: F.concat(F.lit("X "), c)))).alias("table_rows"),
+    )
+    out = packages.exported(files, given)
+    back = packages.read_blocks(out.select("document_id", "path", "source_format", "content", "error"))
+    counts = out.select("document_id", (F.col("applied_unit_count") == F.col("translatable_block_count")).alias("all_applied"))
+    return back.where("error is null").select("document_id", "block_index", "block_type", "text").join(counts, "document_id")
+
+
+_X_CELLS = f"array_to_string(list_transform({_CELLS}, lambda r: array_to_string(list_transform(r, lambda c: 'X ' || c), chr(9))), chr(10))"
+
+
+@add(f"""WITH {BLOCKS_SQL},
+    y AS (SELECT *, {READ_BACK_SQL} AS t,
+                 CASE WHEN {_SCENE} THEN 'scene' WHEN block_type IN ('heading', 'list_item', 'quote', 'caption') THEN block_type ELSE 'paragraph' END AS kind,
+                 {_X_CELLS} AS xs FROM b),
+    z AS (SELECT document_id, 0 AS part, block_index AS i, block_id, 0 AS sub,
+                 CASE WHEN kind = 'scene' THEN CASE WHEN block_type IN ('heading', 'list_item', 'quote', 'caption') THEN block_type ELSE 'paragraph' END ELSE kind END AS block_type,
+                 'X ' || t AS text
+          FROM y WHERE block_type NOT IN ('footnote', 'endnote', 'image', 'table', 'page_break') AND t <> ''
+          UNION ALL SELECT document_id, 0, block_index, block_id, 1, 'image', '' FROM y WHERE block_type = 'caption'
+          UNION ALL SELECT document_id, 0, block_index, block_id, 1, 'page_break', '' FROM y WHERE block_type = 'page_break'
+          UNION ALL SELECT document_id, 0, block_index, block_id, 0, 'table', CASE WHEN xs = '' THEN 'X outer' ELSE xs || chr(10) || 'X outer' END FROM y WHERE block_type = 'table'
+          UNION ALL SELECT document_id, 0, block_index, block_id, 1, 'table', 'X inner' FROM y WHERE block_type = 'table'
+          UNION ALL SELECT document_id, CASE block_type WHEN 'footnote' THEN 1 ELSE 2 END, block_index, block_id, 0, block_type, 'X ' || t
+                    FROM y WHERE block_type IN ('footnote', 'endnote') AND t <> ''
+          UNION ALL SELECT document_id, 3, block_index, block_id, 0, 'comment', 'X ' || t FROM y WHERE block_type = 'code' AND t <> ''
+          UNION ALL SELECT DISTINCT document_id, 4, 0, '', 0, 'header', 'X ' || document_id FROM b
+          UNION ALL SELECT DISTINCT document_id, 5, 0, '', 0, 'footer', 'X End of ' || document_id FROM b)
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY part, i, block_id, sub)::INTEGER AS block_index, block_type, text,
+           true AS all_applied FROM z""")
+def docx_part_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """DOCX packages with links, pictures, controls, comments, notes and nested tables, written back and read again."""
+    return _part_exports(spark, folder, "docx")
+
+
 # ---- translation ----
 
 

@@ -112,35 +112,146 @@ def docx_package(blocks: list[tuple[str, int | None, str]]) -> bytes:
     return _zipped(parts)
 
 
-def _paragraph(text: str, properties: str = "") -> str:
+def _paragraph(text: str, properties: str = "", before: str = "", after: str = "", around: str = "") -> str:
     runs = "<w:br/>".join(f'<w:t xml:space="preserve">{escape(line)}</w:t>' for line in text.split("\n"))
-    return f"<w:p>{f'<w:pPr>{properties}</w:pPr>' if properties else ''}<w:r>{runs}</w:r></w:p>"
+    run = f"<w:r>{runs}</w:r>"
+    run = f"<{around}>{run}</{around.split()[0]}>" if around else run
+    return f"<w:p>{f'<w:pPr>{properties}</w:pPr>' if properties else ''}{before}{run}{after}</w:p>"
+
+
+_RELATED = (
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="rId1" Target="https://example.org/quoted" TargetMode="External"/><Relationship Id="rId2" Target="media/one.png"/>'
+    '<Relationship Id="rId3" Target="header1.xml"/><Relationship Id="rId4" Target="footer1.xml"/></Relationships>'
+)
+_DRAWING = (
+    '<w:r><w:drawing><wp:inline><wp:docPr id="1" name="one" title="One" descr="A picture"/><a:graphic><a:graphicData><pic:pic>'
+    '<pic:blipFill><a:blip r:embed="rId2"/></pic:blipFill></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
+)
+
+
+def docx_with_parts(title: str, blocks: list[tuple[str, int | None, str]]) -> bytes:
+    """A word-processing package with all that a package may have beside plain paragraphs.
+
+    List items stand in content controls, quotes are links, captions have a picture, headings a bookmark, code a
+    comment with its text; tables have a header row, a merged cell and a table inside their last row. A header
+    and a footer name the title.
+    """
+    body: list[str] = []
+    notes: dict[str, list[str]] = {"footnote": [], "endnote": [], "comment": []}
+
+    def noted(kind: str, text: str) -> int:
+        notes[kind].append(f'<w:{kind} w:id="{len(notes[kind]) + 1}">{_paragraph(text)}</w:{kind}>')
+        return len(notes[kind])
+
+    for kind, level, text in blocks:
+        if kind in ("footnote", "endnote"):
+            noted(kind, text)
+        elif kind == "table":
+            lines = [[c.strip() for c in line.split("|")] for line in text.split("\n") if line.strip()]
+            rows = ["".join(f"<w:tc>{'<w:tcPr><w:gridSpan w:val="2"/></w:tcPr>' * (j == 0)}{_paragraph(c)}</w:tc>" for j, c in enumerate(line)) for line in lines]
+            inner = f"<w:tbl><w:tr><w:tc>{_paragraph('inner')}</w:tc></w:tr></w:tbl>"
+            rows.append(f"<w:tc>{_paragraph('outer')}{inner}</w:tc>")
+            header = "<w:trPr><w:tblHeader/></w:trPr>"
+            body.append(f"<w:tbl>{''.join(f'<w:tr>{header * (i == 0)}{r}</w:tr>' for i, r in enumerate(rows))}</w:tbl>")
+        elif kind == "page_break":
+            body.append('<w:p><w:r><w:br w:type="page"/></w:r></w:p>')
+        elif kind == "heading":
+            mark = '<w:bookmarkStart w:id="1" w:name="here"/><w:bookmarkEnd w:id="1"/>'
+            body.append(_paragraph(text, f'<w:pStyle w:val="Heading{level or 1}"/>', before=mark))
+        elif kind == "list_item":
+            item = _paragraph(text, '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>')
+            body.append(f'<w:sdt><w:sdtPr><w:alias w:val="item"/><w:tag w:val="t1"/></w:sdtPr><w:sdtContent>{item}</w:sdtContent></w:sdt>')
+        elif kind == "quote":
+            body.append(_paragraph(text, '<w:pStyle w:val="Quote"/>', around='w:hyperlink r:id="rId1"'))
+        elif kind == "caption":
+            body.append(_paragraph(text, '<w:pStyle w:val="Caption"/>', after=_DRAWING))
+        elif kind == "code":
+            body.append(_paragraph(text, after=f'<w:r><w:commentReference w:id="{noted("comment", text)}"/></w:r>'))
+        elif kind != "image":
+            style = WORD_STYLES.get(kind)
+            body.append(_paragraph(text, f'<w:pStyle w:val="{style}"/>' if style else ""))
+    space = " ".join(f'xmlns:{p}="{NS[p]}"' for p in ("w", "r", "a", "wp", "pic"))
+    parts = {
+        "[Content_Types].xml": '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+        '<Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/></Types>',
+        "word/_rels/document.xml.rels": _RELATED,
+        "word/media/one.png": "a picture",
+        "word/header1.xml": f"<w:hdr {space}>{_paragraph(title)}</w:hdr>",
+        "word/footer1.xml": f"<w:ftr {space}>{_paragraph('End of ' + title)}</w:ftr>",
+        "word/document.xml": f'<?xml version="1.0" encoding="utf-8"?><w:document {space}><w:body>{"".join(body)}</w:body></w:document>',
+    }
+    for kind, found in notes.items():
+        if found:
+            parts[f"word/{kind}s.xml"] = f"<w:{kind}s {space}>{''.join(found)}</w:{kind}s>"
+    return _zipped(parts)
+
+
+def epub_with_parts(title: str, items: list[str]) -> bytes:
+    """A book of two pages in the reading order, with metadata, a cover, a navigation page outside of the order,
+    an item that nobody refers to, and hidden text, out of the markup of its blocks."""
+    half = (len(items) + 1) // 2
+    pages = {
+        f"p{n}.xhtml": '<html xmlns:epub="http://www.idpf.org/2007/ops"><body><p style="display: none">hidden</p>' + "\n".join(part) + "</body></html>"
+        for n, part in ((1, items[:half]), (2, items[half:]))
+    }
+    opf = (
+        '<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata '
+        f'xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:description>About {escape(title)}</dc:description><dc:title>{escape(title)}</dc:title>'
+        '<dc:creator>Someone</dc:creator><dc:language>en</dc:language><meta name="cover" content="c1"/></metadata><manifest>'
+        '<item id="p1" href="p1.xhtml" media-type="application/xhtml+xml"/><item id="p2" href="p2.xhtml" media-type="application/xhtml+xml"/>'
+        '<item id="n1" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="c1" href="cover.jpg" media-type="image/jpeg"/>'
+        '<item id="x1" href="unused.xhtml" media-type="application/xhtml+xml"/></manifest>'
+        '<spine><itemref idref="p1"/><itemref idref="p2"/><itemref idref="gone"/></spine></package>'
+    )
+    container = (
+        '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile '
+        'full-path="book/book.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
+    )
+    nav = '<html xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc">Contents</nav></body></html>'
+    more = {"nav.xhtml": nav, "cover.jpg": "a picture", "unused.xhtml": "<html><body><p>unused</p></body></html>"}
+    book = {f"book/{name}": text for name, text in (pages | more).items()}
+    return _zipped({"mimetype": "application/epub+zip", "META-INF/container.xml": container, "book/book.opf": opf, **book})
 
 
 PACKAGES = "document_id string, path string, source_format string, content binary, error string"
 
 
-def packages(blocks: DataFrame, fmt: str) -> DataFrame:
-    """One package a document, in the columns that the readers take."""
-    if fmt in ("html", "epub"):
+def packages(blocks: DataFrame, fmt: str, parts: bool = False) -> DataFrame:
+    """One package a document, in the columns that the readers take; with ``parts`` it has all that a package may have."""
+    if fmt == "html" or fmt == "epub" and not parts:
         rows = html_pages(blocks)
         if fmt == "html":
             return rows.select("document_id", F.col("document_id").alias("path"), F.lit(fmt).alias("source_format"),
                                F.encode("html", "utf-8").alias("content"), F.lit(None).cast("string").alias("error"))
     else:
-        item = F.struct("block_index", "block_id", "block_type", "block_level", F.coalesce("text", F.lit("")).alias("text"))
+        item = F.struct(
+            "block_index", "block_id", "block_type", "block_level", F.coalesce("text", F.lit("")).alias("text"), block_html().alias("html")
+        )
         rows = blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("bs"))
 
+    def plain(b: dict) -> tuple[str, int | None, str]:
+        return b["block_type"], None if pd.isna(b["block_level"]) else int(b["block_level"]), b["text"]
+
+    def marked(b: dict) -> str:
+        if b["block_type"] == "list_item":
+            return f"<ol>{b['html']}</ol>"
+        if b["block_type"] == "table":
+            return b["html"].replace("<td>", '<th colspan="2">', 1).replace("</td>", "</th>", 1)
+        return b["html"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if fmt == "epub":
-                content = [epub_package(h, d) for d, h in zip(batch["document_id"], batch["html"])]
+            keys = batch["document_id"]
+            if fmt == "epub" and not parts:
+                content = [epub_package(h, d) for d, h in zip(keys, batch["html"])]
+            elif fmt == "epub":
+                content = [epub_with_parts(d, [marked(b) for b in bs]) for d, bs in zip(keys, batch["bs"])]
+            elif parts:
+                content = [docx_with_parts(d, [plain(b) for b in bs]) for d, bs in zip(keys, batch["bs"])]
             else:
-                content = [
-                    docx_package([(b["block_type"], None if pd.isna(b["block_level"]) else int(b["block_level"]), b["text"]) for b in bs]) for bs in batch["bs"]
-                ]
-            yield pd.DataFrame({"document_id": batch["document_id"], "path": batch["document_id"], "source_format": fmt,
-                                "content": content, "error": None})
+                content = [docx_package([plain(b) for b in bs]) for bs in batch["bs"]]
+            yield pd.DataFrame({"document_id": keys, "path": keys, "source_format": fmt, "content": content, "error": None})
 
     return rows.mapInPandas(run, PACKAGES)
 

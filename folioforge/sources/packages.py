@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import posixpath
 import zipfile
 from collections.abc import Iterator
@@ -196,18 +195,25 @@ def exported_name(fmt: Column) -> Column:
 
 
 def save(rows: DataFrame, folder: str) -> None:
-    """Writes exported documents under ``folder``/document_id, a path that all executors share.
+    """Writes exported documents under ``folder``/document_id, a path or address that all executors reach
+    (a local or shared folder, or what Arrow's file systems know: hdfs, s3, gs).
 
     A file is written beside its place and then moved there, so a repeated task does no harm.
     """
 
     def put(part: Iterator[Any]) -> None:
+        import uuid
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         for row in part:
             if row.content is not None:
-                target = posixpath.join(folder, row.document_id, row.name)
-                os.makedirs(posixpath.dirname(target), exist_ok=True)
-                with open(f"{target}.{os.getpid()}.part", "wb") as file:
+                target = posixpath.join(base, row.document_id, row.name)
+                beside = f"{target}.{uuid.uuid4().hex}.part"
+                system.create_dir(posixpath.dirname(target), recursive=True)
+                with system.open_output_stream(beside) as file:
                     file.write(row.content)
-                os.replace(file.name, target)
+                system.move(beside, target)
 
     rows.select("document_id", exported_name(F.col("source_format")).alias("name"), "content").foreachPartition(put)

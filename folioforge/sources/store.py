@@ -43,3 +43,10 @@ def database(spark: SparkSession, url: str, name: str, user: str, password: str,
     if key:
         reader = reader.options(partitionColumn=key, numPartitions=parts, lowerBound=low, upperBound=high)
     return reader.load()
+
+
+def to_database(df: DataFrame, url: str, name: str, user: str, password: str, mode: str = "append", parts: int = 16) -> None:
+    """Writes a table of a database by JDBC, over so many connections at most."""
+    n = min(parts, max(1, df.rdd.getNumPartitions()))
+    options = {"url": url, "dbtable": name, "user": user, "password": password, "isolationLevel": "READ_COMMITTED"}
+    df.coalesce(n).write.format("jdbc").mode(mode).options(**options).save()

@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from ..sources import packages
 
 
-def arriving_files(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
-    """A stream of the files that come into a folder, with their format and errors."""
+def arriving_files(
+    spark: SparkSession, folder: str, most_files: int = 1000, most_bytes: int = packages.MOST_BYTES
+) -> DataFrame:
+    """A stream of the files that come into a folder, with their format and errors; larger files than
+    ``most_bytes`` have an error and no content."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     rows = (
         spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", most_files)
         .option("recursiveFileLookup", "true").load(folder)
     )
     fmt = packages.route(F.col("path"), packages.FORMATS)
-    error = F.when(fmt == "unsupported", "unsupported format").when(F.col("length") > packages.MOST_BYTES, "file too large")
+    error = F.when(fmt == "unsupported", "unsupported format").when(F.col("length") > most_bytes, "file too large")
     return rows.select(
         packages.X.stable_id("doc_", F.col("path")).alias("document_id"), "path", fmt.alias("source_format"), "length",
         error.alias("error"), F.when(error.isNull(), F.col("content")).alias("content"),

@@ -192,3 +192,16 @@ def test_files_with_spark(spark, tmp_path):
     texts = {r.text for r in packages.read_blocks(written).collect()}
     assert {"X Hello", "X Hi", "X Two\nlines.", "X Three"} <= texts
     assert packages.read_blocks(files.where("false")).count() == 0
+
+
+def test_tables_of_a_database(spark):
+    """Written and read over JDBC, in ranges of a key; appending adds."""
+    from folioforge.sources import store
+
+    url = "jdbc:derby:memory:folio;create=true"
+    df = spark.createDataFrame([(i, f"d{i}", None if i == 3 else i * 2) for i in range(10)], "id int, document_id string, words int")
+    store.to_database(df, url, "units", "app", "app", mode="overwrite")
+    store.to_database(df.where("id < 2"), url, "units", "app", "app")
+    rows = store.database(spark, url, "units", "app", "app", key="id", parts=3, low=0, high=10)
+    assert rows.count() == 12 and rows.where("words is null").count() == 1
+    assert rows.selectExpr("lower(document_id) d").distinct().count() == 10
