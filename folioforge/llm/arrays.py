@@ -61,6 +61,23 @@ def _in_word() -> np.ndarray:
     return flags
 
 
+@lru_cache(1)
+def _is_letter() -> np.ndarray:
+    """Word characters but decimal digits and marks."""
+    flags = np.zeros(sys.maxunicode + 1, np.bool_)
+    for c in range(0x30000):
+        flags[c] = chr(c).isalnum() and not chr(c).isdecimal()
+    return flags
+
+
+@lru_cache(1)
+def _is_upper() -> np.ndarray:
+    flags = np.zeros(sys.maxunicode + 1, np.bool_)
+    for c in range(0x30000):
+        flags[c] = chr(c).isupper()
+    return flags
+
+
 @lru_cache(1)
 def _is_space() -> np.ndarray:
     flags = np.zeros(sys.maxunicode + 1, np.bool_)
@@ -109,12 +126,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 class Words:
-    """The words of a group of texts: ``row`` (which text), ``hash``, ``start`` and ``end``."""
+    """The words of a group of texts: ``row`` (which text), ``hash``, ``start`` and ``end``.
+
+    Words are runs of letters, digits and marks or, with another ``kind``, of anything but ``spaces``, or of
+    ``letters`` only.
+    """
 
-    def __init__(self, texts: list[str], spaces_only: bool = False):
+    def __init__(self, texts: list[str], kind: str = "words"):
         self.points, self.begins = code_points(texts)
         # tables are built once a process; code points beyond them are never part of a word
-        inside = ~_is_space()[self.points] if spaces_only else _in_word()[self.points]
+        table = {"words": _in_word, "letters": _is_letter}.get(kind)
+        inside = ~_is_space()[self.points] if table is None else table()[self.points]
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.row = np.searchsorted(self.begins, self.start, side="right") - 1
@@ -124,3 +146,19 @@ class Words:
     def bounds(self) -> np.ndarray:
         """Where each text's words begin (and the end)."""
         return np.searchsorted(self.row, np.arange(self.n_texts + 1))
+
+    def capitalised(self, least: int) -> np.ndarray:
+        """The words of at least so many letters whose first is upper case."""
+        return np.flatnonzero((self.end - self.start >= least) & _is_upper()[self.points[self.start]])
+
+    def text(self, i: int) -> str:
+        return self.points[self.start[i] : self.end[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def distinct_rows(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, key), in order of row."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
