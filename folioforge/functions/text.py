@@ -225,3 +225,28 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 
 def valid_id(prefix: str, value: Column) -> Column:
     return value.rlike(f"^{prefix}[a-f0-9]{{12}}$")
+
+
+def shown_size(count: Column) -> Column:
+    """A number of bytes for display, in the largest unit that it fills, with two decimals at most."""
+
+    def unit(size: int, name: str) -> Column:
+        return F.concat(F.round(count / size, 2).cast("string"), F.lit(f" {name}"))
+
+    return (
+        F.when(count >= 1 << 20, unit(1 << 20, "MB")).when(count >= 1 << 10, unit(1 << 10, "KB"))
+        .otherwise(F.concat(count.cast("string"), F.lit(" bytes")))
+    )
+
+
+UTC_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+def utc_text(time: Column) -> Column:
+    """A time in whole seconds; the session's time zone is UTC."""
+    return F.date_format(time, UTC_FORMAT)
+
+
+def utc_time(text: Column) -> Column:
+    """The time that a text names, null for what is none; an offset other than Z is taken into account."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit(UTC_FORMAT)), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import reconcile
 
 PRIORITIES = ("low", "medium", "high")
 _EDGES = X.TERM_EDGES
@@ -213,6 +214,28 @@ def merge_entries(entries: list[dict]) -> list[dict]:
     return Glossary(entries).entries
 
 
+EXTRACTED = (
+    "document_id string, chunk_id string, place int, source_terms array<string>, target_terms array<string>, "
+    "preferred_target string, category string, priority string, reason string"
+)
+
+
+def extracted(answers: DataFrame) -> DataFrame:
+    """The clean entries in answers(document_id, chunk_id, output), numbered by answer; texts without an object have none."""
+    names = [part.split()[0] for part in EXTRACTED.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for document, chunk, output in zip(batch["document_id"], batch["chunk_id"], batch["output"]):
+                given = (reconcile.embedded_object(output) or {}).get("glossary")
+                clean = [e for raw in (given if isinstance(given, list) else []) if (e := clean_entry(raw, chunk)) is not None]
+                out += [{**e, "document_id": document, "place": i} for i, e in enumerate(clean, 1)]
+            yield pd.DataFrame(out, columns=names)
+
+    return answers.select("document_id", "chunk_id", "output").mapInPandas(run, EXTRACTED)
+
+
 MERGED = (
     "document_id string, entry_id string, source_terms array<string>, target_terms array<string>, "
     "preferred_target string, category string, priority string, usage_count int, reason string, "

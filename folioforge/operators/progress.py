@@ -55,6 +55,19 @@ def with_actions(status: DataFrame) -> DataFrame:
     )
 
 
+def step_estimates(status: DataFrame) -> DataFrame:
+    """For each document the section that comes next and the one done last (``step``) with their estimates."""
+    from ..functions.text import numbered
+    from .sections import DEFAULT_TARGET
+
+    rows = with_actions(status)
+    at, cursor, words = F.col("section_index"), F.col("cursor"), F.col("word_count")
+    step = F.when(at == cursor + 1, "next").when((at == cursor) & (cursor >= 1), "last")
+    rows = rows.withColumn("step", step).where("step is not null")
+    size = F.when(words > 0, words).otherwise(DEFAULT_TARGET)
+    return rows.withColumns({"section_id": numbered("sec_", at), "chunk_size_words": size})
+
+
 def remaining(status: DataFrame) -> DataFrame:
     """What is left of each document, packed in large chunks in section order."""
     from .sections import bulk_chunk_count

@@ -17,7 +17,9 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = re.compile(r"\[\[INLINE_\d{4}\]\]")
 LAYOUT_ROLES = ("toc_layout", "layout", "contents")
@@ -39,6 +41,17 @@ def embedded_object(text: str | None) -> dict | None:
     return None
 
 
+def objects_in(text: Column) -> Column:
+    """The object in each text, as JSON; null where there is none."""
+
+    @F.pandas_udf(T.StringType())
+    def find(texts: pd.Series) -> pd.Series:
+        found = map(embedded_object, texts)
+        return pd.Series([None if o is None else json.dumps(o, ensure_ascii=False) for o in found], dtype=object)
+
+    return find(text)
+
+
 def fenced(text: str | None) -> str:
     text = (text or "").strip()
     found = re.search(r"```(?:json)?\s*(.*?)\s*```", text, re.S)

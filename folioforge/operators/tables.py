@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -108,3 +108,13 @@ def type_deltas(left: DataFrame, right: DataFrame) -> DataFrame:
     both = a.join(b, ["document_id", "block_type"], "full")
     both = both.fillna(0, ["left_count", "right_count"])
     return both.withColumn("delta", F.col("right_count") - F.col("left_count")).where("delta <> 0")
+
+
+def samples(blocks: DataFrame, most: int = 5, chars: int = 120) -> DataFrame:
+    """(document_id, body_blocks, samples): the beginnings of the first blocks of each document, in order.
+    """
+    first = F.array_sort(F.collect_list(F.struct("block_index", "block_id", F.substring("text", 1, chars).alias("t"))))
+    counts = blocks.groupBy("document_id").agg(F.count("*").alias("body_blocks"))
+    rank = F.row_number().over(Window.partitionBy("document_id").orderBy("block_index", "block_id"))
+    some = blocks.withColumn("__rank", rank).where(F.col("__rank") <= most).groupBy("document_id").agg(first.alias("bs"))
+    return counts.join(some, "document_id").select("document_id", "body_blocks", F.transform("bs", lambda b: b["t"]).alias("samples"))

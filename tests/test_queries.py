@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connection
 
 import folioforge.plans.documents  # noqa: F401  (adds its queries)
+import folioforge.plans.values  # noqa: F401  (adds its queries)
 import folioforge.plans.workspace  # noqa: F401  (adds its queries)
 from folioforge.plans.catalog import REGISTRY
 
