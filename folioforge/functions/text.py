@@ -100,7 +100,8 @@ def casefold(text: Column) -> Column:
     dotless i, which has no other case of its own, stays as it is. (The optimizer takes lower(upper(x)) for
     lower(x); a translation in between prevents that.)"""
     up = F.translate(F.upper(F.translate(F.lower(text), "ı", "\ue000")), "ς", "σ")
-    return F.translate(F.lower(up), "ς\ue000", "σı")
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.lower(up), "ς\ue000", "σı"))
 
 
 def casefold_sql(text: str) -> str:

@@ -17,10 +17,15 @@ _EDGES = X.TERM_EDGES
 
 
 def unique_terms(terms: Column) -> Column:
-    """Terms without those that equal an earlier one by key; blank ones are left out."""
-    some = F.filter(X.string_list(terms), lambda t: X.term_key(t) != "")
-    keys = F.transform(some, X.term_key)
-    return F.filter(some, lambda t, i: F.array_position(keys, X.term_key(t)) == i + 1)
+    """Terms without those that equal an earlier one by key; blank ones are left out. Each key is made once."""
+    keyed = F.transform(X.string_list(terms), lambda t: F.struct(X.term_key(t).alias("k"), t.alias("t")))
+    none = F.array().cast("array<struct<k:string,t:string>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        skip = (x["k"] == "") | F.exists(acc, lambda y: y["k"] == x["k"])
+        return F.when(skip, acc).otherwise(F.array_append(acc, x))
+
+    return F.aggregate(keyed, none, step, lambda acc: F.transform(acc, lambda x: x["t"]))
 
 
 def sanitized(entries: DataFrame) -> DataFrame:
@@ -29,9 +34,10 @@ def sanitized(entries: DataFrame) -> DataFrame:
     Entries without a source or target term are left out.
     """
     priority = F.lower(X.strip(F.col("priority")))
-    source, target = unique_terms(F.col("source_terms")), unique_terms(F.col("target_terms"))
-    rows = entries.withColumns({"source_terms": source, "target_terms": target})
-    rows = rows.where((F.size("source_terms") > 0) & (F.size("target_terms") > 0))
+    clean = F.struct(unique_terms(F.col("source_terms")).alias("s"), unique_terms(F.col("target_terms")).alias("t"))
+    # a generator of one row: filters and later columns read its result, instead of making the lists once each
+    rows = entries.select("*", F.explode(F.array(clean)).alias("__clean")).where("size(__clean.s) > 0 and size(__clean.t) > 0")
+    rows = rows.withColumns({"source_terms": F.col("__clean.s"), "target_terms": F.col("__clean.t")}).drop("__clean")
     wanted = F.coalesce(F.nullif(X.strip(F.col("preferred_target")), F.lit("")), F.element_at("target_terms", 1))
     known = F.exists("target_terms", lambda t: X.term_key(t) == X.term_key(F.col("preferred_target")))
     return (
