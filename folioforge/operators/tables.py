@@ -118,3 +118,37 @@ def samples(blocks: DataFrame, most: int = 5, chars: int = 120) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy("block_index", "block_id"))
     some = blocks.withColumn("__rank", rank).where(F.col("__rank") <= most).groupBy("document_id").agg(first.alias("bs"))
     return counts.join(some, "document_id").select("document_id", "body_blocks", F.transform("bs", lambda b: b["t"]).alias("samples"))
+
+
+def enriched(blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """Blocks with what a second parse knows of them, and what is over on either side.
+
+    ``blocks``(document_id, n, block_id, block_type) and ``units``(document_id, n, kind, about) are numbered from 1
+    within documents; ``kind`` is table or text. A block and the unit at its place match if both are tables or
+    neither is; then ``about`` is the block's, else null. ``status`` is matched, mismatched, missing (no unit is
+    left) or unused (no block is left).
+    """
+    left = blocks.select("document_id", "n", "block_id", "block_type", F.lit(True).alias("__block"))
+    right = units.select("document_id", "n", F.col("kind").alias("unit_kind"), "about", F.lit(True).alias("__unit"))
+    rows = left.join(right, ["document_id", "n"], "full")
+    same = (F.col("block_type") == "table").eqNullSafe(F.col("unit_kind") == "table")
+    status = (
+        F.when(F.col("__unit").isNull(), "missing").when(F.col("__block").isNull(), "unused")
+        .when(same, "matched").otherwise("mismatched")
+    )
+    rows = rows.withColumn("status", status)
+    return rows.withColumn("about", F.when(F.col("status") == "matched", F.col("about"))).drop("__block", "__unit")
+
+
+def enrichment_reports(rows: DataFrame) -> DataFrame:
+    """One row a document out of ``enriched``: units, matches, units left over, blocks without a match, and ok or partial."""
+
+    def number(*names: str) -> Column:
+        return F.count(F.when(F.col("status").isin(*names), 1))
+
+    out = rows.groupBy("document_id").agg(
+        number("matched", "mismatched", "unused").alias("units"), number("matched").alias("matched_units"),
+        number("unused").alias("unused_units"), number("mismatched", "missing").alias("mismatches"),
+    )
+    whole = (F.col("mismatches") == 0) & (F.col("unused_units") == 0)
+    return out.withColumn("status", F.when(whole, "ok").otherwise("partial"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import activity, prompts, translations
+from ..operators import activity, prompts, tables, translations
 from ..sources import packages
 from ..tables import table, unique_rows
 from . import catalog, translate
@@ -126,6 +126,47 @@ def preview_page(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# ---- a second parse ----
+
+_UNITS_SQL = f"""{PARAGRAPHS_SQL},
+    r AS (SELECT document_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {X.strip_sql("x")}), lambda x: x <> '') AS us
+          FROM (SELECT DISTINCT document_id, text FROM documents)),
+    v AS (SELECT document_id, unnest(us) AS unit, generate_subscripts(us, 1) AS n FROM r),
+    w AS (SELECT document_id, n, CASE WHEN contains(unit, ' | ') THEN 'table' ELSE 'text' END AS kind, length(unit) AS about FROM v),
+    x AS (SELECT coalesce(p.document_id, w.document_id) AS document_id, coalesce(p.n, w.n) AS n, block_id, kind, about,
+                 CASE WHEN w.n IS NULL THEN 'missing' WHEN p.n IS NULL THEN 'unused'
+                      WHEN coalesce(block_type = 'table', false) = (kind = 'table') THEN 'matched' ELSE 'mismatched' END AS status
+          FROM p FULL JOIN w ON w.document_id = p.document_id AND w.n = p.n)"""
+
+
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    texts = unique_rows(table(spark, folder, "documents").select("document_id", "text"), "document_id")
+    units = F.filter(F.transform(F.split("text", "\n\n"), X.strip), lambda u: u != "")
+    units = texts.select("document_id", F.posexplode(units).alias("at", "unit")).select(
+        "document_id", (F.col("at") + 1).alias("n"), F.when(F.col("unit").contains(" | "), "table").otherwise("text").alias("kind"),
+        F.length("unit").cast("bigint").alias("about"),
+    )
+    return tables.enriched(catalog._paragraphs(spark, folder), units)
+
+
+@add(f"""WITH {_UNITS_SQL}
+    SELECT document_id, n::BIGINT AS n, block_id, kind AS unit_kind, CASE WHEN status = 'matched' THEN about END AS about, status FROM x""")
+def enriched_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks beside the parts of their document's text, which stand for a second parse: kind and length of each."""
+    rows = _enriched(spark, folder)
+    return rows.select("document_id", F.col("n").cast("bigint").alias("n"), "block_id", "unit_kind", "about", "status")
+
+
+@add(f"""WITH {_UNITS_SQL},
+    c AS (SELECT document_id, count(*) FILTER (WHERE status <> 'missing') AS units, count(*) FILTER (WHERE status = 'matched') AS matched_units,
+                 count(*) FILTER (WHERE status = 'unused') AS unused_units, count(*) FILTER (WHERE status IN ('mismatched', 'missing')) AS mismatches
+          FROM x GROUP BY document_id)
+    SELECT *, CASE WHEN mismatches = 0 AND unused_units = 0 THEN 'ok' ELSE 'partial' END AS status FROM c""")
+def enrichment_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the two parses of each document agree."""
+    return tables.enrichment_reports(_enriched(spark, folder))
+
+
 # ---- context and requests ----
 
 _CHUNKS_SQL = "c AS (SELECT DISTINCT ON (document_id, chunk_id) * FROM chunks)"

@@ -405,3 +405,30 @@ def test_repeated_rows_count_once_wherever_they_lie(spark):
         got = sorted((r.k if r.k is not None else -1, r.t) for r in T.unique_in_place(df, "k").collect())
         T.KEY_BYTES = before
         assert got == want and len(got) == 51
+
+
+def test_settings():
+    import pytest
+
+    from folioforge.functions import settings as S
+
+    env = {"A": " 7 ", "B": "x", "C": "2.5", "D": "Yes", "E": " ", "F": "-3"}
+    assert (S.whole(env, "A", 1), S.whole(env, "B", 1), S.whole(env, "Z", 4), S.whole(env, "F", 1, 1)) == (7, 1, 4, 1)
+    assert (S.number(env, "C", 1.0), S.number(env, "B", 1.5)) == (2.5, 1.5)
+    assert (S.flag(env, "D"), S.flag(env, "E", True), S.flag(env, "B"), S.flag(env, "Z")) == (True, True, False, False)
+    both = {"GOOGLE_API_KEY": "g", "NVIDIA_API_KEY": "n", "NVIDIA_BASE_URL": "https://example.org", "GEMINI_MODEL": "gemini/some"}
+    assert S.model(both) == S.Model("gemini", "gemini/some", "g", None)
+    assert S.model(both, "nvidia/other") == S.Model("nvidia", "nvidia/other", "n", "https://example.org")
+    assert S.model(both | {"MODEL_PROVIDER": "NIM"}, usual={"nvidia": "nvidia/usual"}).name == "nvidia/usual"
+    for bad in ({}, {"MODEL_PROVIDER": "other", "GOOGLE_API_KEY": "g"}):
+        with pytest.raises(ValueError):
+            S.model(bad)
+
+
+def test_pages_are_held_within_bounds(spark):
+    rows = spark.createDataFrame([("d", i, f"b{i}") for i in range(250)] + [("e", 0, "x")], "document_id string, block_index int, block_id string")
+    page = {r.document_id: r for r in translations.page(rows, -5, 1000).groupBy("document_id").agg(
+        F.count("*").alias("n"), F.max("page_count").alias("pages"), F.max("has_next").alias("more"), F.max("has_previous").alias("before")).collect()}
+    assert (page["d"].n, page["d"].pages, page["d"].more, page["d"].before) == (100, 3, True, False) and page["e"].n == 1
+    assert translations.page(rows, 240, 0).count() == 1 and translations.page(rows, 300).count() == 0
+    assert translations.page(rows).where("document_id = 'd'").count() == 40
