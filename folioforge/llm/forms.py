@@ -4,9 +4,11 @@ Text is exploded to positioned code points. A broadcast join with the decomposit
 tables replaces each by what it looks like; combining marks are ordered by their class within their
 cluster, clusters are recomposed by a second broadcast join, and the string is put together again.
 
-Both tables come from Unicode's own data by rule and have a fixed size. All steps after the explode
-share one hash partitioning by text, so code points are shuffled once; a text is the largest unit
-that meets in a task. Printable ASCII is its own form and isn't exploded.
+The decompositions come from Unicode's own data by rule, the look-alike letters are a fixed list; both
+have a fixed size. All steps after the explode share one hash partitioning by text, so code points are
+shuffled once; a text is the largest unit that meets in a task. A text of nothing but characters that
+are their own form (found by the same rules, a character at a time) is a fixed point of all this, as no
+mark stands in it that could join another, and isn't exploded.
 """
 
 from __future__ import annotations
@@ -106,8 +108,21 @@ def _pairs(spark: SparkSession, pairs: dict, key: str, value: str, kind: str = "
     return F.broadcast(spark.createDataFrame(list(pairs.items()), f"{key} string, {value} {kind}"))
 
 
+@lru_cache(1)
+def own_forms() -> str:
+    """Characters of the Latin blocks that are their own form and no marks, as the inside of a character class."""
+    good = [p for p in range(0x20, 0x250) if not unicodedata.combining(chr(p)) and (p == 0x20 or visual_form(chr(p)) == chr(p))]
+    runs: list[list[int]] = []
+    for p in good:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+
+
 def plain(text: Column) -> Column:
-    return text.rlike(r"^(?! )[\x20-\x7e]*(?<! )$")
+    return text.rlike(f"^(?! )[{own_forms()}]*(?<! )$")
 
 
 def visual_forms(texts: DataFrame, text: str = "text") -> DataFrame:

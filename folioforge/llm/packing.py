@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +63,16 @@ def encoding(path: str):
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """(key, tokens) of each row; null and empty texts have none."""
+    """(key, tokens) of each row; null and empty texts have none.
+
+    The vocabulary is read where it lies on the driver and sent to the workers as a file, so they need none.
+    """
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(path).encode_ordinary
+        sent = SparkFiles.get(os.path.basename(path))
+        encode = encoding(sent if os.path.exists(sent) else path).encode_ordinary
         for batch in batches:
             n = np.fromiter((len(encode(t)) if t else 0 for t in batch[text]), np.int64, len(batch))
             yield pd.DataFrame({key: batch[key], "tokens": n})

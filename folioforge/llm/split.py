@@ -116,7 +116,8 @@ def split_text(text: str | None, limit: int, overlap: int = 0, unit: str = "word
 
 
 def split_oversized(df: DataFrame, text: str, limit: Column, overlap: Column, unit: str = "words") -> DataFrame:
-    """The rows of ``df`` whose ``text`` has more units than ``limit``, one row for each piece.
+    """The rows of ``df`` whose ``text`` has more units than ``limit``, one row for each piece, without the text
+    itself (which would stand beside each of its pieces).
 
     Adds piece_no, piece_count, start, end, overlap_units, units, cut_at, piece_text, starts_paragraph and
     ends_paragraph; an own column of such a name is replaced. Null and empty texts are within every limit and give no
@@ -131,7 +132,7 @@ def split_oversized(df: DataFrame, text: str, limit: Column, overlap: Column, un
 
     cut = cut.asNondeterministic()  # else the optimizer repeats it in a filter on the result's size
     added = ["piece_no", "piece_count", *PIECES.elementType.fieldNames()[1:]]
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in added]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (text, *added)]
     # n words need 2n - 1 characters at least: most rows are decided without splitting them into words
     least = 2 * limit + 1 if unit == "words" else limit + 1
     big = df.where(F.char_length(text) >= least).where(size > limit).select(
