@@ -128,3 +128,14 @@ def authorized(rows: DataFrame, owners: DataFrame) -> DataFrame:
     known = owners.select("document_id", F.col("owner_user_id").alias("__owner"))
     same = F.coalesce(F.col("owner_user_id") == F.col("__owner"), F.lit(False))
     return rows.join(known, "document_id", "left").withColumn("allowed", same).drop("__owner")
+
+
+def changed(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Current jobs with changes(job_id, changed_at, and any of their columns) applied: of a job's changes the last
+    counts, its nulls change nothing. Changes of jobs that don't exist are left out."""
+    names = [c for c in changes.columns if c not in ("job_id", "changed_at")]
+    last = F.max_by(F.struct(*names, "changed_at"), F.struct("changed_at", *names)).alias("__change")
+    rows = jobs.join(changes.groupBy("job_id").agg(last), "job_id", "left")
+    new = {c: F.coalesce(F.col(f"__change.{c}"), F.col(c)) for c in names}
+    at = F.greatest("updated_at", "__change.changed_at")
+    return rows.withColumns(new | {"updated_at": at}).drop("__change")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions import text as X
-from ..operators import activity, prompts, tables
+from ..functions.words import count_words, count_words_sql
+from ..operators import activity, prompts, sections, tables
 from ..sources import build, packages
 from ..tables import table, unique_rows
 from . import catalog, translate
@@ -173,6 +174,67 @@ def epub_parts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", "block_index", "block_type", "text", "translatable", "source_part", mark.alias("mark"))
 
 
+_PLAIN_SQL = f"""
+    d AS (SELECT DISTINCT document_id, text FROM documents),
+    r AS (SELECT document_id, list_filter(list_transform(string_split({X.strip_sql("text")}, chr(10) || chr(10)), lambda x: {X.strip_sql("x")}), lambda x: x <> '') AS ps FROM d),
+    q AS (SELECT document_id, unnest(ps) AS text, generate_subscripts(ps, 1) AS i FROM r)"""
+
+
+def _text_files(spark: SparkSession, folder: str) -> DataFrame:
+    rows = unique_rows(table(spark, folder, "documents").select("document_id", "text"), "document_id")
+    return rows.select(
+        "document_id", F.col("document_id").alias("path"), F.lit("txt").alias("source_format"),
+        F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+@add(f"""WITH {_PLAIN_SQL} SELECT document_id, i::INTEGER AS block_index, {X.numbered_sql("b", "i")} AS block_id, text FROM q""")
+def txt_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text as a file of plain text, read into blocks."""
+    return packages.read_blocks(_text_files(spark, folder)).select("document_id", "block_index", "block_id", "text")
+
+
+@add(f"""WITH {_PLAIN_SQL}
+    SELECT document_id, string_agg(CASE WHEN i % 2 = 1 THEN 'X ' || text ELSE text END, chr(10) || chr(10) ORDER BY i) AS text,
+           count(*)::INTEGER AS translatable_block_count, count(*) FILTER (WHERE i % 2 = 1)::INTEGER AS applied_unit_count FROM q GROUP BY document_id""")
+def txt_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of plain text with every other block translated; what has no translation stays."""
+    files = _text_files(spark, folder)
+    read = packages.read_blocks(files).where("block_index % 2 = 1")
+    given = read.select("document_id", "block_id", F.concat(F.lit("X "), "text").alias("translated_text"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
+    out = packages.exported(files, given).where("error is null and translatable_block_count > 0")
+    return out.select("document_id", F.decode("content", "utf-8").alias("text"), "translatable_block_count", "applied_unit_count")
+
+
+@add(f"""WITH RECURSIVE {_PLAIN_SQL},
+    w AS (SELECT document_id, i, {count_words_sql("text")} AS words FROM q),
+    s AS (SELECT document_id, i, words AS filled, 1 AS section FROM w WHERE i = 1
+          UNION ALL
+          SELECT w.document_id, w.i, CASE WHEN s.filled + w.words > {sections.DEFAULT_TARGET} THEN w.words ELSE s.filled + w.words END,
+                 s.section + CASE WHEN s.filled + w.words > {sections.DEFAULT_TARGET} THEN 1 ELSE 0 END
+          FROM s JOIN w ON w.document_id = s.document_id AND w.i = s.i + 1),
+    n AS (SELECT document_id, max(section) AS section_count FROM s GROUP BY document_id)
+    SELECT document_id, count(*) AS block_count, sum(words)::BIGINT AS word_count, any_value(section_count)::INTEGER AS section_count
+    FROM w JOIN n USING (document_id) GROUP BY document_id""")
+def created_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of a file that comes in: its blocks, words and sections of the usual size."""
+    read = packages.read_blocks(_text_files(spark, folder)).where("translatable")
+    units = read.select("document_id", F.col("block_index").alias("n"), count_words(F.col("text")).alias("words"))
+    targets = units.select("document_id").distinct().withColumn("target", F.lit(sections.DEFAULT_TARGET))
+    planned = sections.sectioned(units, targets).groupBy("document_id").agg(F.max("section").alias("section_count"))
+    counts = units.groupBy("document_id").agg(F.count("*").alias("block_count"), F.sum("words").alias("word_count"))
+    return counts.join(planned, "document_id")
+
+
+@add(f"""WITH {BLOCKS_SQL}, t AS (SELECT document_id, block_id, unnest(regexp_split_to_array(text, '[;\\n]')) AS entry FROM b WHERE block_type = 'table'),
+    e AS (SELECT document_id, block_id, {X.strip_sql("regexp_extract(entry, '^(.*?)[\\s,.|]*(\\d{1,4}[A-Za-z]?)\\s*$', 1)")} AS title,
+                 regexp_extract(entry, '^(.*?)[\\s,.|]*(\\d{{1,4}}[A-Za-z]?)\\s*$', 2) AS page FROM t)
+    SELECT * FROM e WHERE page <> '' AND title <> ''""")
+def contents_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries (title and page) that tables would have as lists of contents."""
+    return tables.contents_entries(catalog._blocks(spark, folder).where("block_type = 'table'"))
+
+
 def _translated(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     files = build.packages(catalog._blocks(spark, folder), fmt)
     read = packages.read_blocks(files).where("translatable and text <> ''")

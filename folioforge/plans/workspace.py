@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import activity, prompts, tables, translations
-from ..sources import packages
+from ..session import kept_until_end, shared_dir
+from ..sources import packages, store
 from ..tables import table, unique_rows
 from . import catalog, translate
 from .catalog import CONTEXT, ENTRIES_SQL, JOBS_SQL, PARAGRAPHS_SQL, SECTIONED_SQL, add
@@ -52,6 +55,32 @@ def swept_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.select("job_id", "document_id", "job_type", "status", "progress", "interrupted")
 
 
+@add(f"""WITH {JOBS_SQL},
+    h AS (SELECT job_id, max_by(word_count, loaded_at) AS w, max(loaded_at) AS t FROM (SELECT DISTINCT job_id, word_count, loaded_at FROM usage_records) GROUP BY job_id)
+    SELECT job_id, document_id, status, CASE WHEN h.t IS NULL THEN progress ELSE 100 END AS progress,
+           CASE WHEN h.t IS NULL OR h.w IS NULL THEN message ELSE h.w::VARCHAR || ' words' END AS message, greatest(updated_at, h.t) AS updated_at
+    FROM j LEFT JOIN h USING (job_id)""")
+def changed_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs after what their usage records say of them: done, with the words that were translated."""
+    usage = table(spark, folder, "usage_records").select(
+        "job_id", F.col("loaded_at").alias("changed_at"), F.concat(F.col("word_count").cast("string"), F.lit(" words")).alias("message"), F.lit(100).alias("progress")
+    )
+    jobs = activity.changed(activity.current_jobs(table(spark, folder, "jobs")), usage)
+    return jobs.select("job_id", "document_id", "status", "progress", "message", "updated_at")
+
+
+@add("""SELECT DISTINCT * FROM jobs""")
+def stored_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of jobs written by day, read back, written as lines of JSON and read back again."""
+    base = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store.save(table(spark, folder, "jobs").distinct(), base, "jobs")
+    kept_until_end(spark, base)
+    rows = store.load(spark, base, "jobs").drop("created_day")
+    store.export_json(rows, f"{base}/lines")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return store.import_json(spark, f"{base}/lines", schema).where("broken is null").drop("broken").select(*rows.columns)
+
+
 @add(f"""WITH {PARAGRAPHS_SQL}, {ENTRIES_SQL}, {JOBS_SQL},
     n AS (SELECT p.document_id, count(*) AS translatable_block_count,
                  count(*) FILTER (WHERE {X.strip_sql("raw_text")} <> '') AS applied_unit_count

@@ -52,10 +52,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept_until_end(spark, path)
+    return spark.read.parquet(path)
+
+
+def kept_until_end(spark: SparkSession, path: str) -> None:
+    """Has a path removed by ``remove_written``, or when the driver ends."""
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
 
 
 _WRITTEN: list[str] = []

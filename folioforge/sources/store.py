@@ -27,13 +27,19 @@ def bucketed(df: DataFrame, name: str, buckets: int, key: str = "document_id") -
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
+#: Times in JSON keep their microseconds.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def import_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines under a given schema; broken lines come out in the column ``broken``."""
-    return spark.read.schema(f"{schema}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    return spark.read.schema(f"{schema}, broken string").options(
+        columnNameOfCorruptRecord="broken", timestampFormat=TIME_FORMAT
+    ).json(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("timestampFormat", TIME_FORMAT).json(path)
 
 
 def database(spark: SparkSession, url: str, name: str, user: str, password: str, key: str | None = None, parts: int = 16,
