@@ -56,3 +56,20 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, "x" * 100_000)], "id long, text string")
     got = {r.id: r.tokens for r in token_counts(df, "id", "text", vocabulary_path()).collect()}
     assert got[2] == got[3] == 0 < got[1] <= 4 and got[4] > 1 and got[5] > 1000
+
+
+def test_named_method_and_topping_up_on_real_lengths(spark, data):
+    """Batches of one bucket alone, as the method says, against containers topped up from others."""
+    from pyspark.sql import functions as F
+
+    from folioforge.llm import queries
+
+    def used(rows):
+        one = rows.groupBy("spec_name", "capacity", "container_id").agg(F.sum("tokens").alias("n"), F.countDistinct("bucket_tokens").alias("buckets"))
+        return {r.spec_name: r for r in one.groupBy("spec_name").agg(
+            (F.sum("n") / F.count("*") / F.first("capacity")).alias("share"), F.max("buckets").alias("buckets"), F.max(F.col("n") > F.col("capacity")).alias("over")).collect()}
+
+    inside, mixed = used(queries.p6_inside(spark, data)), used(queries.p6_containers(spark, data))
+    for name in inside:
+        assert inside[name].buckets == 1 and not inside[name].over and not mixed[name].over
+        assert mixed[name].share > inside[name].share
