@@ -14,10 +14,14 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 
     For expensive functions over a table of few files: where a scan has fewer tasks than cores, rows are dealt
-    out anew. Large tables have more tasks than that and stay as they lie. The rows are the same.
+    out anew. Large tables have more tasks than that and stay as they lie, as does what comes out of a shuffle
+    (which isn't run to find out). The rows are the same.
     """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):  # it has a shuffle or a broadcast
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if plan.execute().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def unique_rows(df: DataFrame, *keys: str) -> DataFrame:

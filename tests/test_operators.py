@@ -432,3 +432,14 @@ def test_pages_are_held_within_bounds(spark):
     assert (page["d"].n, page["d"].pages, page["d"].more, page["d"].before) == (100, 3, True, False) and page["e"].n == 1
     assert translations.page(rows, 240, 0).count() == 1 and translations.page(rows, 300).count() == 0
     assert translations.page(rows).where("document_id = 'd'").count() == 40
+
+
+def test_only_scans_are_spread(spark, data):
+    from folioforge import tables as T
+
+    scan = T.table(spark, data, "documents").select("doc_id")
+    many = T.spread(scan)
+    assert many.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.count() == scan.count()
+    shuffled = scan.groupBy("doc_id").count()
+    wide = spark.range(0, 100, 1, 64)
+    assert T.spread(shuffled) is shuffled and T.spread(wide) is wide
