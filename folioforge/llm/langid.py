@@ -48,6 +48,7 @@ LONGEST_SENTENCE = 20_000
 RUNNING = re.compile(r"(?:[^\W\d_][^\s|]*[^\S\n]+){3}[^\W\d_]")
 CLEAR = 0.75
 _STEP = np.uint64(0x100000001B3)
+_LAST_SPACE = re.compile(r".*\s", re.S)
 _LETTERED = re.compile(r"\S*[^\W\d_]\S*")
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
 
@@ -249,15 +250,27 @@ def train(documents: DataFrame) -> Model:
     return fit([t for t, _ in pairs], [c for _, c in pairs])
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A sentence as it is, or a longer text in pieces that end with a word where one ends."""
+    at = 0
+    while len(text) - at > LONGEST_SENTENCE:
+        found = _LAST_SPACE.match(text, at, at + LONGEST_SENTENCE)
+        end = found.end() if found else at + LONGEST_SENTENCE
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
 def _sentence_shares(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Texts x languages, twice: words by the probabilities of their sentences, and words with a letter by
     the best language of each sentence."""
     sentences, owner = [], []
     for i, text in enumerate(texts):
         for part in SENTENCE_END.split(text):
-            for at in range(0, len(part), LONGEST_SENTENCE):
-                sentences.append(part[at : at + LONGEST_SENTENCE])
-                owner.append(i)
+            some = list(_pieces(part))
+            sentences += some
+            owner += [i] * len(some)
     soft, hard = (np.zeros((len(texts), len(LANGUAGES))) for _ in range(2))
     for a, b in groups(sentences):
         words = np.fromiter((len(s.split()) for s in sentences[a:b]), float, b - a)

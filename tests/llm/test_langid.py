@@ -71,3 +71,22 @@ def test_language_of_more_than_half_of_the_words(spark):
     got = {r.id: r for r in languages(df, "text", model()).collect()}
     assert all(got[i].mainly == want for i, _, want in rows)
     assert got[1].confidence < 0.75 and got[2].confidence < 0.75
+
+
+def test_long_sentences_are_cut_between_words():
+    from folioforge.llm import langid
+
+    text = "word " * 30_000 + "x" * 50_000 + " end"
+    parts = list(langid._pieces(text))
+    assert "".join(parts) == text and max(map(len, parts)) <= langid.LONGEST_SENTENCE
+    assert sum(len(p.split()) for p in parts) == 30_002 + 2  # the one word above the length is cut
+    assert list(langid._pieces("a b")) == ["a b"] and list(langid._pieces("")) == []
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from folioforge.llm import langid
+
+    m = model()
+    langid.save(m, spark, str(tmp_path / "model"))
+    again = langid.load(spark, str(tmp_path / "model"))
+    assert np.allclose(m.scores(list(TEXTS.values())), again.scores(list(TEXTS.values()))) and again.sharpness == m.sharpness
