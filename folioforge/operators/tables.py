@@ -131,7 +131,7 @@ def enriched(blocks: DataFrame, units: DataFrame) -> DataFrame:
     left = blocks.select("document_id", "n", "block_id", "block_type", F.lit(True).alias("__block"))
     right = units.select("document_id", "n", F.col("kind").alias("unit_kind"), "about", F.lit(True).alias("__unit"))
     rows = left.join(right, ["document_id", "n"], "full")
-    same = (F.col("block_type") == "table").eqNullSafe(F.col("unit_kind") == "table")
+    same = F.col("block_type").eqNullSafe("table") == F.col("unit_kind").eqNullSafe("table")
     status = (
         F.when(F.col("__unit").isNull(), "missing").when(F.col("__block").isNull(), "unused")
         .when(same, "matched").otherwise("mismatched")

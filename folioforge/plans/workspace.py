@@ -73,9 +73,10 @@ def changed_jobs(spark: SparkSession, folder: str) -> DataFrame:
 def stored_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """The table of jobs written by day, read back, written as lines of JSON and read back again."""
     base = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
-    store.save(table(spark, folder, "jobs").distinct(), base, "jobs")
+    jobs = table(spark, folder, "jobs").distinct()
+    store.save(jobs, base, "jobs")
     kept_until_end(spark, base)
-    rows = store.load(spark, base, "jobs").drop("created_day")
+    rows = store.load(spark, base, "jobs", jobs.schema).drop("created_day")
     store.export_json(rows, f"{base}/lines")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return store.import_json(spark, f"{base}/lines", schema).where("broken is null").drop("broken").select(*rows.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The part of a day or an owner that a table is laid out by, for pruning.
 PARTITIONS = {"usage_records": "created_day", "jobs": "created_day"}
@@ -18,8 +19,10 @@ def save(df: DataFrame, folder: str, name: str, mode: str = "overwrite") -> None
         df.write.mode(mode).parquet(f"{folder}/{name}.parquet")
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def load(spark: SparkSession, folder: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """A table; with a schema one without any rows, which has no files, can be read too."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, key: str = "document_id") -> None:

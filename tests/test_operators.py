@@ -443,3 +443,52 @@ def test_only_scans_are_spread(spark, data):
     shuffled = scan.groupBy("doc_id").count()
     wide = spark.range(0, 100, 1, 64)
     assert T.spread(shuffled) is shuffled and T.spread(wide) is wide
+
+
+def test_tables_of_the_shared_folder_are_removed(spark):
+    import os
+
+    from folioforge import session
+
+    df = session.written(spark.range(5), "some")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert session.remove_written(spark) >= 1 and not os.path.exists(path) and session.remove_written(spark) == 0
+    first = session.file_state(spark, os.path.dirname(os.path.abspath(__file__)))
+    assert first[0] > 0 and first == session.file_state(spark, os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_jobs_by_key_and_changes(spark):
+    jobs = spark.createDataFrame(
+        [("j1", "d", "t", '{"a": "1", "b": "2"}', "k", 1, "x", 5), ("j2", "d", "t", '{"a": "9"}', "k", 2, "y", 6), ("j3", "d", "t", None, " ", 3, None, 7)],
+        "job_id string, document_id string, job_type string, payload_json string, k string, created int, message string, progress int",
+    ).withColumn("created_at", F.timestamp_seconds("created")).withColumn("updated_at", F.timestamp_seconds("created"))
+    asked = spark.createDataFrame(
+        [("d", "t", "k", '{"a":"9"}'), ("d", "t", "k ", '{"a":"8"}'), ("d", "t", " ", '{"a":"9"}'), ("d", "t", None, None), ("e", "t", "k", "{}"), ("d", "t", "zz", "oops")],
+        "document_id string, job_type string, key string, payload_json string",
+    )
+    got = [(r.key, r.document_id, r.job_id, r.answer) for r in activity.replayed(jobs, asked, F.col("k")).collect()]
+    assert sorted(got, key=str) == sorted([("k", "d", "j2", "replay"), ("k ", "d", "j2", "conflict"), (" ", "d", None, "new"), (None, "d", None, "new"), ("k", "e", None, "new"), ("zz", "d", None, "new")], key=str)
+    changes = spark.createDataFrame([("j1", 9, "late", None), ("j1", 4, "early", 50), ("j3", 1, None, 90), ("gone", 1, "x", 1)], "job_id string, t int, message string, progress int")
+    changes = changes.select("job_id", F.timestamp_seconds("t").alias("changed_at"), "message", "progress")
+    rows = {r.job_id: (r.message, r.progress, r.updated_at.second) for r in activity.changed(jobs, changes).collect()}
+    assert rows == {"j1": ("late", 5, 9), "j2": ("y", 6, 2), "j3": (None, 90, 3)}
+    swept = activity.interrupted(spark.createDataFrame([("queued", "translate_rest"), ("running", "export"), (None, None)], "status string, job_type string").withColumns({"progress": F.lit(3), "message": F.lit("m"), "error_text": F.lit(None).cast("string")}))
+    assert [(r.status, r.progress, r.interrupted) for r in swept.collect()] == [("failed", 100, True), ("running", 3, False), (None, 3, False)]
+
+
+def test_owners_exports_and_second_parses(spark):
+    rows = spark.createDataFrame([("d1", "u", "g"), ("d2", "v", "g"), ("d3", None, None)], "document_id string, owner_user_id string, owner_auth_provider string")
+    assert [r.document_id for r in activity.owned(rows, "u").collect()] == ["d1"] and activity.owned(rows, "u", "h").count() == 0
+    asked = spark.createDataFrame([("d1", "u"), ("d2", "u"), ("d3", None), ("gone", "u")], "document_id string, owner_user_id string")
+    assert {r.document_id: r.allowed for r in activity.authorized(asked, rows).collect()} == {"d1": True, "d2": False, "d3": False, "gone": False}
+    records = spark.createDataFrame([("d", "e1", 5), ("d", "e3", 9), ("d", "e2", 9), ("x", "e0", None)], "document_id string, export_id string, exported_at int")
+    assert {r.document_id: r.export_id for r in activity.latest_exports(records).collect()} == {"d": "e3", "x": "e0"}
+    blocks = spark.createDataFrame([("d", 1, "b1", "table"), ("d", 2, "b2", "paragraph"), ("d", 3, "b3", "table"), ("e", 1, "b1", None)], "document_id string, n int, block_id string, block_type string")
+    units = spark.createDataFrame([("d", 1, "table", "m"), ("d", 2, "table", "m"), ("f", 1, "text", "m"), ("e", 1, "text", "k")], "document_id string, n int, kind string, about string")
+    found = tables.enriched(blocks, units)
+    assert {(r.document_id, r.n): (r.status, r.about) for r in found.collect()} == {
+        ("d", 1): ("matched", "m"), ("d", 2): ("mismatched", None), ("d", 3): ("missing", None), ("e", 1): ("matched", "k"), ("f", 1): ("unused", None),
+    }
+    reports = {r.document_id: (r.units, r.matched_units, r.unused_units, r.mismatches, r.status) for r in tables.enrichment_reports(found).collect()}
+    assert reports == {"d": (2, 1, 0, 2, "partial"), "e": (1, 1, 0, 0, "ok"), "f": (1, 0, 1, 0, "partial")}
