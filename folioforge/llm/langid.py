@@ -114,6 +114,8 @@ class Model:
     weights: np.ndarray  # 2**BITS x languages
     bias: np.ndarray
     sharpness: float
+    #: False for a model that nothing was there to learn from: it tells no language.
+    learned: bool = True
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts x languages; the batched product of presence and weight matrix.
@@ -214,19 +216,20 @@ def translated_texts(translations: DataFrame, key: str, target: str, json: str)
 
 def save(model: Model, spark: SparkSession, path: str) -> None:
     """A model as a Parquet table of one row (5 MB), for other sessions."""
-    row = (bytearray(model.weights.tobytes()), [float(b) for b in model.bias], float(model.sharpness))
-    frame = spark.createDataFrame([row], "weights binary, bias array<double>, sharpness double")
+    row = (bytearray(model.weights.tobytes()), [float(b) for b in model.bias], float(model.sharpness), model.learned)
+    frame = spark.createDataFrame([row], "weights binary, bias array<double>, sharpness double, learned boolean")
     frame.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> Model:
     row = spark.read.parquet(path).first()
     weights = np.frombuffer(bytes(row.weights), np.float32).reshape(-1, len(LANGUAGES))
-    return Model(weights, np.array(row.bias), row.sharpness)
+    return Model(weights, np.array(row.bias), row.sharpness, row.learned)
 
 
 def train(documents: DataFrame) -> Model:
-    """A model from documents(document_id, target_lang, translations_json)."""
+    """A model from documents(document_id, target_lang, translations_json); without any translation one that tells
+    no language."""
     sample = translated_texts(documents, "document_id", "target_lang", "translations_json")
     texts: dict[str, list[str]] = {c: [] for c in LANGUAGES}
     for lang, values in zip(sample["target_lang"], sample["texts"]):
@@ -246,7 +249,7 @@ def train(documents: DataFrame) -> Model:
         keep = rng.permutation(len(all_of))[:TRAIN_TEXTS]
         pairs += [(all_of[i], lang) for i in keep]
     if not pairs:
-        raise ValueError("no translation to learn languages from")
+        return Model(np.zeros((1 << BITS, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES)), 1.0, False)
     return fit([t for t, _ in pairs], [c for _, c in pairs])
 
 
@@ -299,7 +302,7 @@ def languages(df: DataFrame, text: str, model: Model, by_paragraph: bool = False
     """``df`` without its text, with words, lang, confidence, second, the language next to it, and mainly.
 
     ``lang`` has the most words; ``confidence`` is its share of them. A text without letters (null,
-    empty, numbers) gets a null language and confidence 0. ``mainly`` has more than half of the words,
+    empty, numbers) gets a null language and confidence 0, as does any text if the model has learned nothing. ``mainly`` has more than half of the words,
     each sentence counted for its best language; null if none has. With ``by_paragraph`` one row for each
     paragraph, numbered by segment_no from 1.
     """
@@ -324,7 +327,7 @@ def languages(df: DataFrame, text: str, model: Model, by_paragraph: bool = False
                 mainly = majorities(texts, shares, by_best)
                 total, order = shares.sum(axis=1), np.argsort(-shares, axis=1, kind="stable")
                 names = np.array(LANGUAGES, object)
-                lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+                lettered = np.array([model.learned and any(map(str.isalpha, t)) for t in texts], bool)
                 best = shares[np.arange(len(texts)), order[:, 0]] / np.maximum(total, 1e-9)
                 yield part.assign(
                     words=np.array([len(t.split()) for t in texts], np.int32),
