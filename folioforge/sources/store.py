@@ -35,10 +35,13 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def import_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines under a given schema; broken lines come out in the column ``broken``."""
-    return spark.read.schema(f"{schema}, broken string").options(
-        columnNameOfCorruptRecord="broken", timestampFormat=TIME_FORMAT
-    ).json(path)
+    """JSON lines under a given schema; broken lines come out in the column ``broken``.
+
+    Lines are read as texts, so that any columns may be asked for, ``broken`` alone included.
+    """
+    options = {"columnNameOfCorruptRecord": "broken", "timestampFormat": TIME_FORMAT}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.from_json("value", f"{schema}, broken string", options).alias("j")).select("j.*")
 
 
 def export_json(df: DataFrame, path: str) -> None:

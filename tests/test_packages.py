@@ -205,3 +205,12 @@ def test_tables_of_a_database(spark):
     rows = store.database(spark, url, "units", "app", "app", key="id", parts=3, low=0, high=10)
     assert rows.count() == 12 and rows.where("words is null").count() == 1
     assert rows.selectExpr("lower(document_id) d").distinct().count() == 10
+
+
+def test_lines_of_json(spark, tmp_path):
+    from folioforge.sources import store
+
+    (tmp_path / "x.json").write_text('{"a": 1, "t": "2024-01-02T03:04:05.123456+00:00"}\n{broken\n\n{"a": null}\n')
+    rows = store.import_json(spark, str(tmp_path / "x.json"), "a int, t timestamp")
+    assert rows.count() == 3 and rows.where("broken is not null").count() == 1 and [r.a for r in rows.where("a is not null").collect()] == [1]
+    assert rows.where("a = 1").first().t.microsecond == 123456 and rows.where("broken is null").count() == 2
