@@ -278,15 +278,16 @@ def docx_exports(spark: SparkSession, folder: str) -> DataFrame:
     return _translated(spark, folder, "docx")
 
 
-def _part_exports(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
-    """Packages with parts, every translatable block replaced by its text (with its inline tokens) under a mark, read back."""
+def _part_exports(spark: SparkSession, folder: str, fmt: str, tokens: bool = True) -> DataFrame:
+    """Packages with parts, every translatable block replaced by its text under a mark, with or without its inline
+    tokens, read back."""
     files = build.packages(catalog._blocks(spark, folder), fmt, parts=True)
     read = packages.read_blocks(files).where("translatable and text <> ''")
     cells = F.from_json(F.get_json_object("metadata_json", "$.rows"), "array<array<string>>")
     is_table = F.col("block_type") == "table"
     given = read.select(
         "document_id", "block_id",
-        F.when(~is_table, F.concat(F.lit("X "), F.coalesce("inline_source_text", "text"))).alias("translated_text"),
+        F.when(~is_table, F.concat(F.lit("X "), F.coalesce("inline_source_text", "text") if tokens else F.col("text"))).alias("translated_text"),
         F.when(is_table, F.transform(cells, lambda r: F.transform(r, lambda c: F.concat(F.lit("X "), c)))).alias("table_rows"),
     )
     out = packages.exported(files, given)
@@ -298,7 +299,7 @@ def _part_exports(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
 _X_CELLS = f"array_to_string(list_transform({_CELLS}, lambda r: array_to_string(list_transform(r, lambda c: 'X ' || c), chr(9))), chr(10))"
 
 
-@add(f"""WITH {BLOCKS_SQL},
+_PART_EXPORTS_SQL = f"""WITH {BLOCKS_SQL},
     y AS (SELECT *, {READ_BACK_SQL} AS t,
                  CASE WHEN {_SCENE} THEN 'scene' WHEN block_type IN ('heading', 'list_item', 'quote', 'caption') THEN block_type ELSE 'paragraph' END AS kind,
                  {_X_CELLS} AS xs FROM b),
@@ -316,12 +317,21 @@ _X_CELLS = f"array_to_string(list_transform({_CELLS}, lambda r: array_to_string(
           UNION ALL SELECT DISTINCT document_id, 4, 0, '', 0, 'header', 'X ' || document_id FROM b
           UNION ALL SELECT DISTINCT document_id, 5, 0, '', 0, 'footer', 'X End of ' || document_id FROM b)
     SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY part, i, block_id, sub)::INTEGER AS block_index, block_type, text,
-           true AS all_applied FROM z""")
+           true AS all_applied FROM z"""
+
+
+@add(_PART_EXPORTS_SQL)
 def docx_part_exports(spark: SparkSession, folder: str) -> DataFrame:
     """DOCX packages with links, pictures, controls, comments, notes and nested tables, written back and read again."""
     return _part_exports(spark, folder, "docx")
 
 
+@add(_PART_EXPORTS_SQL)
+def docx_repaired_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with translations that have lost all inline tokens: what these stand for isn't lost with them."""
+    return _part_exports(spark, folder, "docx", tokens=False)
+
+
 # ---- translation ----
 
 
