@@ -195,12 +195,12 @@ def txt_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @add(f"""WITH {_PLAIN_SQL}
-    SELECT document_id, string_agg(CASE WHEN i % 2 = 1 THEN 'X ' || text ELSE text END, chr(10) || chr(10) ORDER BY i) AS text,
-           count(*)::INTEGER AS translatable_block_count, count(*) FILTER (WHERE i % 2 = 1)::INTEGER AS applied_unit_count FROM q GROUP BY document_id""")
+    SELECT document_id, string_agg(CASE WHEN length(text) > 80 THEN 'X ' || text ELSE text END, chr(10) || chr(10) ORDER BY i) AS text,
+           count(*)::INTEGER AS translatable_block_count, count(*) FILTER (WHERE length(text) > 80)::INTEGER AS applied_unit_count FROM q GROUP BY document_id""")
 def txt_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of plain text with every other block translated; what has no translation stays."""
+    """Files of plain text whose longer blocks are translated; what has no translation stays."""
     files = _text_files(spark, folder)
-    read = packages.read_blocks(files).where("block_index % 2 = 1")
+    read = packages.read_blocks(files).where("length(text) > 80")
     given = read.select("document_id", "block_id", F.concat(F.lit("X "), "text").alias("translated_text"), F.lit(None).cast("array<array<string>>").alias("table_rows"))
     out = packages.exported(files, given).where("error is null and translatable_block_count > 0")
     return out.select("document_id", F.decode("content", "utf-8").alias("text"), "translatable_block_count", "applied_unit_count")
